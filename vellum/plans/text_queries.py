@@ -1,0 +1,212 @@
+"""Text scans, sketches and near-duplicates over documents, pages, conversations, embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.frames import settle
+from ..operators import deps, score, sketch, text
+from .registry import query, table
+
+_BYTES = "(SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS b FROM documents)"
+
+
+@query("doc_entropy", f"""WITH c AS (SELECT doc_id, b, count(*) AS c FROM {_BYTES} GROUP BY 1, 2), t AS (SELECT *, sum(c) OVER (PARTITION BY doc_id) AS n FROM c)
+SELECT doc_id, n::BIGINT AS n_bytes, round(sum(-(c / n) * log2(c / n)), 6) AS entropy FROM t GROUP BY 1, 2""")
+def doc_entropy(spark, sf_dir):
+    return text.byte_entropy(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).withColumn("entropy", F.round("entropy", 6))
+
+
+@query("doc_window_entropy", """WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, unnest(range(0, greatest(0, ceil((length(h) / 2 - 512) / 256))::BIGINT + 1)) AS w, h FROM h),
+b AS (SELECT doc_id, w, unnest(regexp_extract_all(substr(h, w * 512 + 1, 1024), '..')) AS b FROM w),
+c AS (SELECT doc_id, w, b, count(*) AS c FROM b GROUP BY ALL), t AS (SELECT *, sum(c) OVER (PARTITION BY doc_id, w) AS n FROM c),
+e AS (SELECT doc_id, w, sum(-(c / n) * log2(c / n)) AS e FROM t GROUP BY 1, 2)
+SELECT doc_id, count(*)::BIGINT AS n_windows, round(max(e), 6) AS max_entropy, max(e) > 7.0 AS anomalous FROM e GROUP BY 1""")
+def doc_window_entropy(spark, sf_dir):
+    return text.max_window_entropy(table(spark, sf_dir, "documents"), "doc_id", F.col("text")).withColumn("max_entropy", F.round("max_entropy", 6))
+
+
+@query("doc_long_tokens", """SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9]{33,}'))::INT AS n_long FROM documents""")
+def doc_long_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.long_tokens(F.col("text"))).alias("n_long"))
+
+
+@query("doc_entropy_tokens", """WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{33,}')) AS t FROM documents), i AS (SELECT *, row_number() OVER () AS i FROM t),
+c AS (SELECT doc_id, i, length(t) AS n, unnest(string_split(t, '')) AS ch FROM i), g AS (SELECT doc_id, i, n, ch, count(*) AS c FROM c GROUP BY ALL),
+e AS (SELECT doc_id, i, sum(-(c / n) * log2(c / n)) AS e FROM g GROUP BY 1, 2), s AS (SELECT doc_id, count_if(e > 4.5) AS k FROM e GROUP BY 1)
+SELECT doc_id, coalesce(k, 0)::INT AS n_high FROM documents LEFT JOIN s USING (doc_id)""")
+def doc_entropy_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.high_entropy_tokens(F.col("text")).alias("n_high"))
+
+
+@query("doc_compress_ratio")
+def doc_compress_ratio(spark, sf_dir):
+    return text.compress_ratio(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("doc_invisible", f"SELECT doc_id, len(regexp_extract_all(text, '{text.INVISIBLE}'))::INT AS n_invisible FROM documents")
+def doc_invisible(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.invisible(F.col("text")).alias("n_invisible"))
+
+
+@query("doc_credentials", f"SELECT doc_id, len(regexp_extract_all(text, '{text.CREDENTIALS}'))::INT AS n_credentials FROM documents")
+def doc_credentials(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.credentials(F.col("text")).alias("n_credentials"))
+
+
+_P = {k: p for k, p in text.PAYLOADS.items() if p.isprintable()}
+
+
+@query("doc_payloads", "SELECT doc_id, " + ", ".join(f"len(regexp_extract_all(text, '{p}'))::INT AS n_{k}" for k, p in _P.items()) + " FROM documents")
+def doc_payloads(spark, sf_dir):
+    counts = text.payload_counts(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", *[counts[f"n_{k}"].alias(f"n_{k}") for k in _P])
+
+
+_BANNED_SQL = text.BANNED.replace("'", "''")
+
+
+@query("doc_banned_phrases", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(len(regexp_extract_all(line, '{_BANNED_SQL}')))::BIGINT AS n_banned,
+ count_if(regexp_matches(ltrim(line, ' '), '^(//|#|/\\*|\\*)'))::BIGINT AS n_comments FROM l GROUP BY doc_id""")
+def doc_banned_phrases(spark, sf_dir):
+    rows = text.lines(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.size(text.banned_phrases(F.col("line")))).alias("n_banned"), F.count_if(text.is_comment(F.col("line"))).alias("n_comments"))
+
+
+@query("doc_unlinked", r"SELECT doc_id, NOT regexp_matches(lower(text), '(?:closes?|fix(?:es)?|resolves?|related to|refs?) #\s*#?\d') AS unlinked FROM documents")
+def doc_unlinked(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", score.unlinked(F.col("text")).alias("unlinked"))
+
+
+_HALVES = "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n FROM documents), h AS (SELECT doc_id, l[1:n // 2] AS b, l[n // 2 + 1:n] AS a, (n // 2) AS nb, n - n // 2 AS na FROM s)"
+
+
+def _branches(lines: str) -> str:
+    joined = f"array_to_string({lines}, chr(10))"
+    return " + ".join(f"(length({joined}) - length(replace({joined}, '{w}', ''))) // {len(w)}" for w in text.BRANCHES)
+
+
+@query("logic_erasure", f"""{_HALVES}, c AS (SELECT doc_id, nb, na, ({_branches("b")}) AS cb, ({_branches("a")}) AS ca FROM h)
+SELECT doc_id, cb::INT AS base_branches, ca::INT AS head_branches, cb >= 3 AND abs(nb - na) <= greatest(nb // 10, 1) AND ca * 10 < cb * 8 AS erased FROM c""")
+def logic_erasure(spark, sf_dir):
+    half = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("l")).withColumn("nb", F.floor(F.size("l") / 2).cast("int"))
+    rows = half.select("doc_id", "nb", (F.size("l") - F.col("nb")).alias("na"), F.slice("l", F.lit(1), F.col("nb")).alias("b"), F.slice("l", F.col("nb") + 1, F.size("l")).alias("a"))
+    base, head = text.branch_count(F.col("b")), text.branch_count(F.col("a"))
+    counted = rows.select("doc_id", "nb", "na", base.alias("base_branches"), head.alias("head_branches"))
+    return counted.select("doc_id", "base_branches", "head_branches", text.erased_logic(F.col("base_branches"), F.col("head_branches"), F.col("nb"), F.col("na")).alias("erased"))
+
+
+@query("pages_hidden_injection", f"""WITH b AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--(.*?)-->', 1) AS b FROM pages)
+SELECT page_id, len(b)::INT AS n_hidden, len(list_filter(b, lambda x: regexp_matches(x, '{text.INJECTION}')))::INT AS n_injected FROM b""")
+def pages_hidden_injection(spark, sf_dir):
+    b = table(spark, sf_dir, "pages").select("page_id", text.hidden_blocks(F.col("html")).alias("b"))
+    return b.select("page_id", F.size("b").alias("n_hidden"), text.injected(F.col("b")).alias("n_injected"))
+
+
+@query("pages_unpinned_script", """SELECT page_id, len(list_filter(regexp_extract_all(html, '(?i)<script[^>]+src=[^>]*>'), lambda x: NOT regexp_matches(x, '(?i)integrity=')))::INT AS n_unpinned FROM pages""")
+def pages_unpinned_script(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.unpinned_scripts(F.col("html")).alias("n_unpinned"))
+
+
+@query("conv_injection", f"""SELECT conv_id, count(*)::BIGINT AS n_turns, count_if(regexp_matches(text, '{text.INJECTION}'))::BIGINT AS n_injected FROM conversations GROUP BY conv_id""")
+def conv_injection(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.count_if(F.col("text").rlike(text.INJECTION)).alias("n_injected"))
+
+
+@query("conv_check_act", """WITH n AS (SELECT *, min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS act_at,
+ min(CASE WHEN role = 'system' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS g FROM conversations)
+SELECT conv_id, turn, act_at FROM n WHERE role = 'user' AND act_at IS NOT NULL AND (g IS NULL OR g > act_at)""")
+def conv_check_act(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("kind", F.expr("CASE role WHEN 'user' THEN 'check' WHEN 'assistant' THEN 'act' WHEN 'system' THEN 'guard' END"))
+    return score.check_then_act(c, ["conv_id"], "turn", "kind").select("conv_id", "turn", "act_at")
+
+
+# --- sketches -----------------------------------------------------------------------
+
+_SKETCH = """WITH g AS (SELECT doc_id, unnest(list_distinct(CASE WHEN octet_length(encode(text)) < 3 THEN regexp_extract_all(hex(encode(text)), '..')
+  ELSE list_transform(range(0, octet_length(encode(text)) - 2), lambda i: substr(hex(encode(text)), i * 2 + 1, 6)) END)) AS g FROM documents),
+m AS (SELECT doc_id, i, min(substr(md5(concat(i, ':', g)), 1, 16)) AS m FROM g, range(0, 16) r(i) GROUP BY 1, 2)
+"""
+_SEEDS, _N_BANDS, _LEAST = 16, 4, 0.7
+
+
+@query("doc_minhash", _SKETCH + "SELECT doc_id, string_agg(m, '' ORDER BY i) AS sketch FROM m GROUP BY doc_id")
+def doc_minhash(spark, sf_dir):
+    return sketch.minhash(table(spark, sf_dir, "documents"), "doc_id", "text", _SEEDS).select("doc_id", F.array_join("sketch", "").alias("sketch"))
+
+
+@query("doc_lsh_links", _SKETCH + """, s AS (SELECT doc_id, list(m ORDER BY i) AS s FROM m GROUP BY 1), d AS (SELECT min(doc_id) AS rep, s FROM s GROUP BY s),
+b AS (SELECT rep, s, k, array_to_string(s[k * 4 + 1:k * 4 + 4], '') AS slot FROM d, range(0, 4) r(k)),
+p AS (SELECT DISTINCT x.rep AS a, y.rep AS b, x.s AS sa, y.s AS sb FROM b x JOIN b y ON x.k = y.k AND x.slot = y.slot AND x.rep < y.rep)
+SELECT a, b, similarity FROM (SELECT a, b, len(list_filter(list_zip(sa, sb), lambda z: z[1] = z[2])) / 16 AS similarity FROM p) WHERE similarity >= 0.7""")
+def doc_lsh_links(spark, sf_dir):
+    return _lsh(table(spark, sf_dir, "documents"))
+
+
+def _lsh(docs):
+    s = settle(sketch.minhash(docs, "doc_id", "text", _SEEDS).where("sketch[0] IS NOT NULL"))  # read four times
+    return sketch.links_of_sketches(s, "doc_id", _LEAST, _SEEDS, _N_BANDS)
+
+
+@query("doc_exact_groups", "SELECT min(doc_id)::BIGINT AS rep, md5(text) AS digest, count(*)::BIGINT AS n, (count(*) - 1)::BIGINT AS extra FROM documents GROUP BY digest HAVING n >= 2")
+def doc_exact_groups(spark, sf_dir):
+    return sketch.exact_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("doc_dup_components", """WITH RECURSIVE e AS (SELECT source AS a, md5(text) AS b FROM documents), n AS (SELECT DISTINCT x.a AS a, y.a AS b FROM e x JOIN e y ON x.b = y.b),
+r(a, b) AS (SELECT a, b FROM n UNION SELECT r.a, n.b FROM r JOIN n ON r.b = n.a) SELECT a AS node, min(b) AS component FROM r GROUP BY a""")
+def doc_dup_components(spark, sf_dir):
+    """Sources that share a text, directly or through others."""
+    from ..operators import graph
+
+    d = table(spark, sf_dir, "documents").select("source", F.md5("text").alias("m")).distinct()
+    first = d.groupBy("m").agg(F.min("source").alias("dst"))
+    edges = d.join(first, "m").select(F.col("source").alias("src"), "dst").distinct()  # a star for each text: linear in its sources
+    return graph.components(edges)
+
+
+@query("doc_simhash", """WITH f AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS f FROM documents), c AS (SELECT doc_id, f, count(*) AS c FROM f GROUP BY ALL),
+b AS (SELECT doc_id, c, i, (('0x' || substr(md5(f), (i // 8) * 2 + 1, 2))::BIGINT >> (7 - i % 8)) & 1 AS bit FROM c, range(0, 64) r(i)),
+v AS (SELECT doc_id, i, sum(CASE WHEN bit = 1 THEN c ELSE -c END) AS v FROM b GROUP BY 1, 2)
+SELECT doc_id, string_agg(CASE WHEN v > 0 THEN '1' ELSE '0' END, '' ORDER BY i) AS simhash FROM v GROUP BY doc_id""")
+def doc_simhash(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("f"))
+    return sketch.simhash_votes(words, "doc_id", F.col("f"))
+
+
+_BITS = "WITH v AS (SELECT vec_id, list_sum(list_transform(range(0, 63), lambda i: CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END))::BIGINT AS bits FROM embeddings)"
+
+
+@query("emb_hamming_pairs", _BITS + """, d AS (SELECT min(vec_id) AS rep, bits FROM v GROUP BY bits)
+SELECT x.rep AS a, y.rep AS b, bit_count(xor(x.bits, y.bits))::INT AS distance FROM d x JOIN d y ON x.rep < y.rep AND bit_count(xor(x.bits, y.bits)) <= 7""")
+def emb_hamming_pairs(spark, sf_dir):
+    bits = table(spark, sf_dir, "embeddings").select("vec_id", sketch.sign_bits(F.slice("embedding", 1, 63)).alias("bits"))
+    return sketch.hamming_links(bits, "vec_id", "bits", 7)
+
+
+@query("label_fp_probability", """SELECT d.source, count(*)::BIGINT AS n, round((count_if(toxic = 0) + 1) / (count(*) + 2), 6) AS p_false FROM documents d JOIN labels l USING (doc_id) GROUP BY d.source
+HAVING (count_if(toxic = 0) + 1) / (count(*) + 2) <= 0.95""")
+def label_fp_probability(spark, sf_dir):
+    j = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id")
+    g = j.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 0).alias("ok"))
+    p = sketch.fp_probability(F.col("ok"), F.col("n") - F.col("ok"))
+    return g.where(p <= 0.95).select("source", "n", F.round(p, 6).alias("p_false"))
+
+
+@query("triage_rank", """SELECT doc_id, 3.0::DOUBLE * toxic + 1.5::DOUBLE * quality + CASE WHEN toxic = 1 THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END - 4.0::DOUBLE * (doc_id % 2) AS triage
+FROM labels ORDER BY triage DESC, doc_id LIMIT 50""")
+def triage_rank(spark, sf_dir):
+    sev = F.when(F.col("toxic") == 1, "Critical").otherwise("Low")
+    s = score.triage(F.col("toxic") == 1, F.col("quality") == 1, sev, F.col("doc_id") % 2 == 1)
+    return table(spark, sf_dir, "labels").select("doc_id", s.alias("triage")).orderBy(F.desc("triage"), "doc_id").limit(50)
+
+
+@query("doc_mentions", r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS name FROM documents),
+n AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS name FROM part UNION SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS name FROM benchmark)
+SELECT n.name FROM n SEMI JOIN w USING (name)""")
+def doc_mentions(spark, sf_dir):
+    names = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("name")).union(table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " "))))
+    return deps.mentioned(names, table(spark, sf_dir, "documents"))
