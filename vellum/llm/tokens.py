@@ -42,18 +42,34 @@ LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 @functools.cache
 def classes() -> np.ndarray:
-    """Letter, number, white space or other, for each code point."""
+    """Letter, number, white space or other, for each code point, as the library's pre-tokenizer sees them."""
     import regex
+    from tokenizers import pre_tokenizers
 
     every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
-    out = np.full(0x110000, OTHER, np.uint8)
+    library = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    codes = np.frombuffer(every.encode("utf-32-le"), np.uint32)
+    guess = np.full(len(codes), OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         for m in regex.finditer(pattern, every):
-            a, b = (x if x < 0xD800 else x + 0x800 for x in (m.start(), m.end() - 1))
-            out[a : b + 1] = kind
+            guess[m.start() : m.end()] = kind
+    out = np.full(0x110000, OTHER, np.uint8)
+    for kind in (LETTER, NUMBER, SPACE, OTHER):
+        # Characters of one class make one pre-token; where the library (of another Unicode version) cuts, each run is asked about.
+        own = codes[guess == kind]
+        runs = library(own.tobytes().decode("utf-32-le"))
+        for _, (a, b) in runs:
+            out[own[a:b]] = kind if len(runs) == 1 else _class_of(chr(own[a]), library)
     return out
 
 
+def _class_of(c: str, library) -> int:
+    for before, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
+        if len(library(before + c)) == 1:
+            return kind
+    return SPACE
+
+
 def cut(codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Where pre-tokens start; codes: code points of texts one after another, begins: where each (non-empty) text starts."""
     n = len(codes)
