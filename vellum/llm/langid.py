@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,10 +119,10 @@ def score_batch(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
     best = p.argmax(axis=1)
     score = p[np.arange(len(p)), best]
     none = counts == 0
-    # Bytes of longer characters count as letters above; a text of nothing but signs and other scripts' marks has none.
-    strings = texts.to_pylist()
-    for i in np.flatnonzero(~none & ((counts < 64) | (score < model.reject_below))):
-        none[i] = not any(map(str.isalpha, strings[i] or ""))
+    # Bytes of longer characters count as letters above; of texts without a-z, those of nothing but signs have none.
+    plain = np.asarray(pc.match_substring_regex(low, "[a-z]"))
+    for i in np.flatnonzero(~none & ~plain):
+        none[i] = not any(map(str.isalpha, texts[int(i)].as_py() or ""))
     best = np.where(none, -1, best)
     score = np.where(none, 0.0, score)
     return best, score, none | (score < model.reject_below)
@@ -132,7 +133,7 @@ def score_batch(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
 
 def _counts_of(batches, text: str, lang: str):
     """One row per text: language, distinct buckets and their shares of the text's n-grams."""
-    for batch in batches:
+    for batch in K.each(batches):
         low = K.lowered(batch.column(text))
         found: dict[int, dict] = {}
         for rows, parts in K.windows(low):
@@ -235,7 +236,7 @@ def _calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
 
 def _predict(batches, model: Model, text: str):
     names = np.array([*model.languages, "und"], object)
-    for batch in batches:
+    for batch in K.each(batches):
         best, score, rejected = score_batch(batch.column(text), model)
         added = [("lang_pred", pa.array(names[best], pa.string())), ("score", pa.array(score)), ("rejected", pa.array(rejected))]
         kept = [(c, batch.column(c)) for c in batch.schema.names if c not in ("lang_pred", "score", "rejected")]

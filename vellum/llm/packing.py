@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit as K
 from . import tokens
 from .shared import written
 
@@ -51,7 +52,7 @@ def _pieces(batches, path: str, capacity: int, end: int):
     part = TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, np.int64)  # this task's pieces of each length so far
     tail = np.array([end], "<u4")
-    for batch in batches:
+    for batch in K.each(batches):
         ids_column = batch.column(0)
         column = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
         for a in range(0, len(column), 256):

@@ -38,6 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit as K
 from .shared import written
 
 SEED = 42
@@ -81,7 +82,7 @@ def fingerprint(text: bytes, shingle: int) -> int:
 
 
 def _fingerprints(batches, text: str, shingle: int):
-    for batch in batches:
+    for batch in K.each(batches):
         column = pc.fill_null(batch.column(text).cast(pa.large_binary()), b"")
         out = np.fromiter((fingerprint(v.as_buffer().to_pybytes(), shingle) for v in column), np.uint64, len(column))
         kept = [(c, batch.column(c)) for c in batch.schema.names if c not in (text, "fp")]
@@ -139,7 +140,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 
 def _keys(batches):
     """Rows (key, fp, rep) for every key of every fingerprint."""
-    for batch in batches:
+    for batch in K.each(batches):
         fp = np.asarray(batch.column("fp")).view(np.uint64)
         rep = np.asarray(batch.column("rep"))
         parts = [((fp >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]

@@ -17,6 +17,14 @@ _K = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
+def each(batches):
+    """The batches; what Arrow holds back of one is given back before the next, as workers of several stages share a machine."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def lowered(column) -> pa.Array:
     """A string column with null as empty, in lower case."""
     if isinstance(column, pa.ChunkedArray):

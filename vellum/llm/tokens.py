@@ -293,7 +293,7 @@ def _library(path: str):
 
 def _count(batches, path: str, text: str, drop_text: bool, limit: int):
     fast = supports(path)
-    for batch in batches:
+    for batch in K.each(batches):
         column = pc.fill_null(batch.column(text).cast(pa.large_string()), "")
         n_tokens = np.zeros(len(column), np.int64)
         for a in range(0, len(column), 256):

@@ -99,7 +99,7 @@ def sentences_of(text: str, model: Model, least: float = 0.5) -> list[dict]:
 
 def _bags(batches):
     """Per text: label, distinct buckets per sentence, and how many each sentence has."""
-    for batch in batches:
+    for batch in K.each(batches):
         low = K.lowered(batch.column("t"))
         bags: list[list[np.ndarray]] = [[] for _ in range(len(low))]
         for rows, parts in K.windows(low):
@@ -169,7 +169,7 @@ _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), (
 
 
 def _score(batches, model: Model, text: str, drop_text: bool):
-    for batch in batches:
+    for batch in K.each(batches):
         score = np.clip(score_batch(batch.column(text), model), 0.0, 1.0)
         toxic = score >= 0.5
         spans = [sentences_of(batch.column(text)[i].as_py(), model) if toxic[i] else [] for i in range(len(score))]
