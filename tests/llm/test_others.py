@@ -81,6 +81,12 @@ def test_damage_is_noticed(spark):
         warc.read(spark, root, manifest).collect()
 
 
+def test_pages_need_an_id(spark):
+    df = spark.createDataFrame([(None, "u", "x")], "page_id long, url string, html string")
+    with pytest.raises(Exception, match="without a page_id"):
+        warc.write(df, shared.place(spark, "warc"))
+
+
 def test_empty_archive(spark):
     _, df = _pages(spark, 1)
     root = shared.place(spark, "warc")

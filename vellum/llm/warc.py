@@ -214,7 +214,8 @@ def _to_file(batches, firsts: np.ndarray, numbers: np.ndarray):
 def write(pages: DataFrame, root: str, largest: int = LARGEST, smallest: int = SMALLEST, files: int = FILES, least_bytes: int = 0) -> DataFrame:
     """Write the archive under root and commit it; returns its manifest."""
     spark = pages.sparkSession
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html"))
+    named = F.coalesce(F.col("page_id").cast("long"), F.raise_error(F.lit("a page without a page_id")).cast("long"))
+    pages = pages.select(named.alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html"))
     local = _local(root)
     if local:
         os.makedirs(local, exist_ok=True)
