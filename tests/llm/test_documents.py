@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import decontam, langid, packing, pii, simhash, tokens, toxicity
+from vellum.llm import decontam, langid, packing, pii, resemblance, simhash, tokens, toxicity
 from vellum.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string, spans string, fp string"
@@ -151,6 +151,61 @@ def test_simhash_hard_rows(spark, hard):
     assert [r.component_id for r in simhash.classes(nameless).collect()] == [None, None] and simhash.keep_one(nameless).count() == 2
 
 
+def _resemblance(a, b, n=5):
+    a, b = ({tuple(t.split()[i : i + n]) for i in range(max(1, len(t.split()) - n + 1))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_sketches_estimate_resemblance():
+    r = random.Random(11)
+    words = [b"%d" % r.randrange(9000) for _ in range(700)]
+    for edits in (1, 5, 12, 40):
+        other = list(words)
+        for k in r.sample(range(700), edits):
+            other[k] = b"new%d" % k
+        a, b = resemblance.Sketcher(), resemblance.Sketcher()
+        a.add(words)
+        for k in range(0, 700, 90):  # parts of any size give one sketch
+            b.add(other[k : k + 90])
+        same = np.mean([x == y for x, y in zip(*(np.frombuffer(s.result()[0], "<u2") for s in (a, b)), strict=True)])
+        assert abs(same - _resemblance(" ".join(map(bytes.decode, words)), " ".join(map(bytes.decode, other)))) < 0.12
+    assert resemblance.Sketcher().result() is None
+    few = resemblance.Sketcher()
+    few.add([b"a", b"b"])
+    assert few.result() is not None
+
+
+@pytest.mark.parametrize("few", [24, 2])  # with 2, nearly every key counts as large
+def test_edited_copies_against_brute_force(spark, monkeypatch, few):
+    monkeypatch.setattr(resemblance, "PAIRS_UP_TO", few)
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefghij", k=5))
+    texts = []
+    for size in [1] * 20 + [2, 3, 5, 40]:  # single texts and groups of copies, each a few edits from the first
+        first = [word() for _ in range(r.randint(120, 300))]
+        passage = [word() for _ in range(30)]
+        for k in range(size):
+            copy = list(first)
+            for at in r.sample(range(len(copy)), 2 if k else 0):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+        texts.append(" ".join(word() for _ in range(150)) + " " + " ".join(passage))
+        texts.append(" ".join(passage) + " " + " ".join(word() for _ in range(150)))  # a shared passage is no copy
+    r.shuffle(texts)
+    found = {x.doc_id: x.component_id for x in simhash.near_classes(table(spark, texts)).collect()}
+    groups = collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        groups[found[i]].add(i)
+        for j in range(i):
+            s = _resemblance(t, texts[j])
+            if s >= 0.9:
+                assert found[i] == found[j], s
+    for group in groups.values():
+        first = min(group)
+        assert all(_resemblance(texts[first], texts[i]) > 0.6 for i in group)
+    assert len(groups) == 24 + 48
+
+
 # --- decontamination ------------------------------------------------------------
 
 

@@ -19,6 +19,9 @@ without pairs: each is dealt to itself and its 64 one-bit neighbours, two that
 differ in up to 2 bits meet at one of these, all that meet do link, and at most
 65 distinct fingerprints can meet.  That is exact, and linear in the group.
 
+Edited copies move more bits than two; `near_classes` and `keep_one` add the links
+of `resemblance`.
+
 Defined results: null and empty texts, and texts without a word, have
 fingerprint zero and link to each other (and to any other fingerprint within
 reach); a text of fewer words than a shingle is one shingle; classes are named by
@@ -38,6 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import resemblance
 from . import textkit as K
 from .shared import written
 
@@ -53,8 +57,8 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """SimHash of a text's shingles of lower-cased words, repeats included; a bit is 1 if it is in over half of them."""
+def fingerprint(text: bytes, shingle: int, sketcher: resemblance.Sketcher | None = None) -> int:
+    """SimHash of a text's shingles of lower-cased words, repeats included; a bit is 1 if it is in over half of them.  A sketcher is given the words too."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
@@ -65,7 +69,10 @@ def fingerprint(text: bytes, shingle: int) -> int:
         end = min(len(text), at + _BLOCK)
         while end < len(text) and text[end] not in b" \t\n\v\f\r":
             end += 1
-        words += text[at:end].lower().split()
+        fresh = text[at:end].lower().split()
+        if sketcher:
+            sketcher.add(fresh)
+        words += fresh
         at = end
         m = len(words) - shingle + 1
         if m > 0:
@@ -81,18 +88,23 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits((counts * 2 > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches, text: str, shingle: int):
+def _fingerprints(batches, text: str, shingle: int, sketch: bool = False):
     for batch in K.each(batches):
         column = pc.fill_null(batch.column(text).cast(pa.large_binary()), b"")
-        out = np.fromiter((fingerprint(v.as_buffer().to_pybytes(), shingle) for v in column), np.uint64, len(column))
-        kept = [(c, batch.column(c)) for c in batch.schema.names if c not in (text, "fp")]
-        yield pa.RecordBatch.from_arrays([*(v for _, v in kept), pa.array(out.view(np.int64))], names=[*(c for c, _ in kept), "fp"])
+        sketchers = [resemblance.Sketcher() if sketch else None for _ in column]
+        out = np.fromiter((fingerprint(v.as_buffer().to_pybytes(), shingle, s) for v, s in zip(column, sketchers, strict=True)), np.uint64, len(column))
+        kept = {c: batch.column(c) for c in batch.schema.names if c not in (text, "fp")} | {"fp": pa.array(out.view(np.int64))}
+        if sketch:
+            found = [s.result() or (None, None) for s in sketchers]
+            kept |= {"sketch": pa.array([f[0] for f in found], pa.binary()), "keys": pa.array([f[1] for f in found], pa.list_(pa.int64()))}
+        yield pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a long."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, sketch: bool = False) -> DataFrame:
+    """doc_id and fp, the fingerprint as a long; with sketch, also the text's sketch and its band keys."""
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    return narrow.mapInArrow(functools.partial(_fingerprints, text="__text", shingle=shingle), "doc_id long, fp long")
+    schema = "doc_id long, fp long" + ", sketch binary, keys array<long>" * sketch
+    return narrow.mapInArrow(functools.partial(_fingerprints, text="__text", shingle=shingle, sketch=sketch), schema)
 
 
 # --- the Golay code -------------------------------------------------------------
@@ -223,8 +235,23 @@ def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2) -> DataFrame:
-    """One document of each class: that with the smallest doc_id.  Rows that repeat its doc_id stay as they are the same document; rows without one stay."""
-    found = classes(docs, text, key, shingle, bits).where("doc_id IS NOT NULL AND doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
+def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id for every row with an id: classes by the links of fingerprints and those of five-word sketches together."""
+    prints = fingerprints(docs, text, key, shingle, sketch=True).where("doc_id IS NOT NULL").withColumn("sid", F.xxhash64("sketch"))
+    prints = written(prints, "prints")
+    # A node is one fingerprint with one sketch, named by its smallest doc_id; the sketches of copies are equal.
+    nodes = written(prints.groupBy("fp", "sid").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "nodes")
+    by_print = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
+    by_sketch = nodes.where("sketch IS NOT NULL").groupBy("sid").agg(F.min("node").alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    by_sketch = written(by_sketch, "sketches")
+    same_print = nodes.join(by_print, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    same_sketch = nodes.join(by_sketch.select("sid", "rep"), "sid").select(F.col("rep").alias("a"), F.col("node").alias("b"))
+    found = components(links(by_print, bits).unionAll(resemblance.links(by_sketch, similarity)).unionAll(same_print).unionAll(same_sketch))
+    named = nodes.join(found, "node", "left").select("fp", "sid", F.coalesce("component", "node").alias("component_id"))
+    return prints.select("doc_id", "fp", "sid").join(named, ["fp", "sid"]).select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2, similarity: float = 0.8) -> DataFrame:
+    """One document of each near-duplicate class: that with the smallest doc_id.  Rows that repeat its doc_id stay as they are the same document; rows without one stay."""
+    found = near_classes(docs, text, key, shingle, bits, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(found, docs[key] == F.col("__gone"), "left_anti")
-
