@@ -108,7 +108,7 @@ class _Lookup:
 def _count(batches, known: np.ndarray):
     """In how many of the task's documents each known hash occurs, and how many documents there are."""
     lookup, total, docs = _Lookup(known), np.zeros(len(known), np.int64), 0
-    for batch in K.each(batches):
+    for batch in K.each(batches, K.SLICE):
         low = K.lowered(batch.column(0))
         docs += len(low)
         for rows, parts in K.windows(low):
@@ -204,7 +204,7 @@ def _align(words: np.ndarray, hits: np.ndarray, ix: Index, item: int, threshold:
 
 def _match(batches, ix: Index, threshold: float):
     lookup = _Lookup(ix.seeds)
-    for batch in K.each(batches):
+    for batch in K.each(batches, K.SLICE):
         low = K.lowered(batch.column(1))
         found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
         before: dict[int, int] = {}

@@ -236,7 +236,7 @@ def _calibrate(model: Model, z: np.ndarray, y: np.ndarray) -> None:
 
 def _predict(batches, model: Model, text: str):
     names = np.array([*model.languages, "und"], object)
-    for batch in K.each(batches):
+    for batch in K.each(batches, K.SLICE):
         best, score, rejected = score_batch(batch.column(text), model)
         added = [("lang_pred", pa.array(names[best], pa.string())), ("score", pa.array(score)), ("rejected", pa.array(rejected))]
         kept = [(c, batch.column(c)) for c in batch.schema.names if c not in ("lang_pred", "score", "rejected")]

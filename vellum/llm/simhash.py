@@ -89,7 +89,7 @@ def fingerprint(text: bytes, shingle: int, sketcher: resemblance.Sketcher | None
 
 
 def _fingerprints(batches, text: str, shingle: int, sketch: bool = False):
-    for batch in K.each(batches):
+    for batch in K.each(batches, K.SLICE):
         column = pc.fill_null(batch.column(text).cast(pa.large_binary()), b"")
         sketchers = [resemblance.Sketcher() if sketch else None for _ in column]
         out = np.fromiter((fingerprint(v.as_buffer().to_pybytes(), shingle, s) for v, s in zip(column, sketchers, strict=True)), np.uint64, len(column))

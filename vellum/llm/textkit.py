@@ -7,22 +7,39 @@ space (or, failing that, at a character boundary) and its parts are summed.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 WINDOW = 1 << 20
+#: Rows of a slice where what is derived from texts is larger than they are.
+SLICE = 2048
+
+#: Freed memory goes back to the system where the C library offers it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 _K = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def each(batches):
-    """The batches; what Arrow holds back of one is given back before the next, as workers of several stages share a machine."""
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def each(batches, rows: int | None = None):
+    """The batches, in slices of so many rows if given; what Arrow and the allocator hold back is returned before each, as workers of several stages share a machine."""
+    _give_back()
     for batch in batches:
-        yield batch
-        del batch
-        pa.default_memory_pool().release_unused()
+        step = rows or max(1, batch.num_rows)
+        for at in range(0, max(1, batch.num_rows), step):
+            part = batch.slice(at, step)
+            yield part
+            del part
+            _give_back()
 
 
 def lowered(column) -> pa.Array:
