@@ -249,6 +249,19 @@ def test_copies_and_edits_are_found(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_copies_of_a_hot_item_are_found(spark):
+    r = random.Random(16)
+    item = [f"w{r.randrange(10**6)}" for _ in range(40)]
+    texts = [" ".join(item)] * 60
+    for step in (4, 5, 6):  # every gram that these break is rarer than the grams they keep
+        edited = [f"new{step}x{i}" if i % step == step - 1 else w for i, w in enumerate(item)]
+        texts += ["before " + " ".join(edited) + " after"] * 3
+    texts += [" ".join(item[:12]) + " and none of the rest"] * 5  # shares grams, not the item
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"other{i}" for i in range(40)))], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontam.contaminated(docs, bench).collect()} == {(i, 1) for i in range(69)}
+
+
 # --- toxicity -------------------------------------------------------------------
 
 

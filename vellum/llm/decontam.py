@@ -1,11 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, an exact bound, then Smith-Waterman alignment.
 
 Words are lower-cased runs of letters and digits.  A first pass counts, over all
-documents, in how many each word and each three-word gram of a test item occurs.
-An item's seeds are its grams that few documents hold, and always its rarest
-ones, so a passage that a third of the corpus has copied keeps its seeds.  A
-second pass joins documents to items on the seeds and aligns the words around
-them: Smith-Waterman with matches weighted by the rarity of the word, so that
+documents, in how many each word of a test item occurs.  Every three-word gram of
+an item is a seed, however many documents hold it, so a passage that a third of
+the corpus has copied is found by whatever an edited copy keeps.  A second pass
+joins documents to items on the seeds.  No alignment scores more than the weight
+of the item's words that the text holds at all; pairs, and then places in the
+text, that this bound keeps under the threshold are left out, which loses
+nothing.  The words around the other seeds are aligned: Smith-Waterman with matches weighted by the rarity of the word, so that
 edited, reordered in part or paraphrased copies still score high and passages
 that merely share common words do not.  The score is the alignment's weight as a
 share of the item's own.
@@ -33,11 +35,10 @@ from pyspark.sql import functions as F
 from . import textkit as K
 
 SEED = 3
-#: Seeds: grams in at most this share of the documents, and an item's rarest ones in any case.
-RARE_SHARE = 1e-3
-RAREST = 8
 THRESHOLD = 0.5
 BLOCK_WORDS = 2_000_000
+#: Seed hits that are spread over their items at a time.
+_HITS = 1 << 20
 
 _TABLE = K.letter_table(digits=True)
 _MIX = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -114,11 +115,9 @@ def _count(batches, known: np.ndarray):
         for rows, parts in K.windows(low):
             words, owner = _hashes(parts)
             rows = np.asarray(rows)
-            pairs = []
-            for values in (words, _grams(words, owner)):
-                at, which = lookup.find(values)
-                pairs.append(rows[owner[at]] * np.int64(len(known)) + which)
-            total += np.bincount(np.unique(np.concatenate(pairs)) % len(known), minlength=len(known))
+            at, which = lookup.find(words)
+            pairs = rows[owner[at]] * np.int64(len(known)) + which
+            total += np.bincount(np.unique(pairs) % len(known), minlength=len(known))
     nz = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((known[nz].view(np.int64), [0]))), pa.array(np.concatenate((total[nz], [0]))), pa.array(np.concatenate((np.zeros(len(nz), np.int64), [docs])))], names=["h", "n", "docs"])
 
@@ -159,24 +158,60 @@ class Index:
     item: np.ndarray
     pos: np.ndarray
     weights: list[np.ndarray]
+    known: np.ndarray  # sorted hashes of the items' words
+    places: list[np.ndarray]  # of each item's words in known
 
 
 def index(block: Block, counts: dict[int, int], docs: int) -> Index:
     """Seeds and word weights of a block, from the corpus counts."""
-    rare = max(10, int(RARE_SHARE * docs))
+    known = np.unique(np.concatenate([*block.words, np.empty(0, np.uint64)]))
     rows = []
     weights = []
     for i, (words, grams) in enumerate(zip(block.words, block.grams, strict=True)):
         weights.append(np.array([np.log((docs + 1) / (counts.get(int(w), 0) + 1)) + 0.1 for w in words]))
-        distinct = sorted({int(g) for g in grams if g}, key=lambda g: (counts.get(g, 0), g))
-        chosen = {g for k, g in enumerate(distinct) if k < RAREST or counts.get(g, 0) <= rare}
-        rows += [(int(g), i, p) for p, g in enumerate(grams) if int(g) in chosen]
+        rows += [(int(g), i, p) for p, g in enumerate(grams) if g]
         if 0 < len(words) < SEED:
             rows.append((int(words[0]), i, 0))
     rows.sort()
     h = np.array([r[0] for r in rows], np.uint64)
     seeds, first = np.unique(h, return_index=True)
-    return Index(block, seeds, np.append(first, len(rows)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), weights)
+    return Index(block, seeds, np.append(first, len(rows)), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64), weights, known, [np.searchsorted(known, w) for w in block.words])
+
+
+def _spread(which: np.ndarray, ix: Index):
+    """For seeds found, in runs of about _HITS: places in which, and in the seed's items."""
+    reps = ix.first[which + 1] - ix.first[which]
+    ends = np.cumsum(reps)
+    lo = 0
+    while lo < len(which):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - reps[lo] + _HITS, "right")))
+        r = reps[lo:hi]
+        flat = np.repeat(ix.first[which[lo:hi]] - (np.cumsum(r) - r), r) + np.arange(r.sum())
+        yield np.repeat(np.arange(lo, hi), r), flat
+        lo = hi
+
+
+def _possible(part: np.ndarray, which: np.ndarray, words: np.ndarray, bounds: np.ndarray, ix: Index, vocabulary: _Lookup, threshold: float) -> np.ndarray:
+    """Sorted codes part * items + item of those that share a seed and whose shared words weigh enough."""
+    if not len(which):
+        return np.empty(0, np.int64)
+    items = np.int64(len(ix.weights))
+    seeds = np.unique(part * np.int64(len(ix.seeds)) + which)
+    part, which = np.divmod(seeds, len(ix.seeds))
+    met = [np.unique(part[k] * items + ix.item[flat]) for k, flat in _spread(which, ix)]
+    met = np.unique(np.concatenate(met))
+    keep = np.zeros(len(met), bool)
+    there = np.zeros(len(ix.known), bool)
+    owner, begin = np.unique(met // items, return_index=True)
+    for p, lo, hi in zip(owner.tolist(), begin.tolist(), [*begin[1:].tolist(), len(met)], strict=True):
+        present = vocabulary.find(words[bounds[p] : bounds[p + 1]])[1]
+        there[present] = True
+        for k in range(lo, hi):
+            it = met[k] % items
+            w = ix.weights[it]
+            keep[k] = w @ there[ix.places[it]] >= threshold * w.sum() * (1 - 1e-9)
+        there[present] = False
+    return met[keep]
 
 
 def _align(words: np.ndarray, hits: np.ndarray, ix: Index, item: int, threshold: float):
@@ -196,6 +231,8 @@ def _align(words: np.ndarray, hits: np.ndarray, ix: Index, item: int, threshold:
             k += 1
             hi = max(hi, end[k])
         k += 1
+        if weight[np.isin(a, words[lo:hi])].sum() < max(threshold, best[0]) * total * (1 - 1e-9):
+            continue  # no alignment here can reach the threshold, or beat the best
         score, s, e = smith_waterman(a, words[lo:hi], weight, gap)
         if score / total > best[0]:
             best = (score / total, int(lo) + s, int(lo) + e)
@@ -203,7 +240,8 @@ def _align(words: np.ndarray, hits: np.ndarray, ix: Index, item: int, threshold:
 
 
 def _match(batches, ix: Index, threshold: float):
-    lookup = _Lookup(ix.seeds)
+    lookup, vocabulary = _Lookup(ix.seeds), _Lookup(ix.known)
+    items = np.int64(len(ix.weights))
     for batch in K.each(batches, K.SLICE):
         low = K.lowered(batch.column(1))
         found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
@@ -223,15 +261,19 @@ def _match(batches, ix: Index, threshold: float):
             at, which = lookup.find(grams)
             at_w, which_w = lookup.find(words)
             at, which = np.concatenate((at, at_w)), np.concatenate((which, which_w))
-            if len(at):
-                reps = ix.first[which + 1] - ix.first[which]
-                flat = np.repeat(ix.first[which] - np.concatenate(([0], np.cumsum(reps)))[:-1], reps) + np.arange(reps.sum())
-                place, item, pos = np.repeat(at, reps), ix.item[flat], ix.pos[flat]
-                part = owner[place]
+            bounds = np.searchsorted(owner, np.arange(len(parts) + 1))
+            pairs = _possible(owner[at], which, words, bounds, ix, vocabulary, threshold)
+            if len(pairs):
+                kept = []
+                for k, flat in _spread(which, ix):
+                    code = owner[at[k]] * items + ix.item[flat]
+                    ok = pairs[np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)] == code
+                    kept.append((at[k[ok]], flat[ok]))
+                place, flat = (np.concatenate(x) for x in zip(*kept, strict=True))
+                item, pos, part = ix.item[flat], ix.pos[flat], owner[place]
                 order = np.lexsort((pos, place, item, part))
                 place, item, pos, part = place[order], item[order], pos[order], part[order]
                 cut = np.flatnonzero((np.diff(part) != 0) | (np.diff(item) != 0)) + 1
-                bounds = np.searchsorted(owner, np.arange(len(parts) + 1))
                 for group in np.split(np.arange(len(place)), cut):
                     p, it = int(part[group[0]]), int(item[group[0]])
                     lo = bounds[p]
@@ -275,7 +317,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
     out = None
     for block in _blocks(benchmark, item_text, item_key):
-        known = np.unique(np.concatenate([*block.words, *block.grams] or [np.empty(0, np.uint64)]))
+        known = np.unique(np.concatenate([*block.words, np.empty(0, np.uint64)]))
         known = known[known != 0]
         if not len(known):
             continue
