@@ -206,6 +206,35 @@ def test_edited_copies_against_brute_force(spark, monkeypatch, few):
     assert len(groups) == 24 + 48
 
 
+def _alike_by_brute_force(texts, pairs):
+    """Component of each text by links of a real resemblance of 0.8 or more."""
+    of = list(range(len(texts)))
+    for i, j in pairs:
+        if _resemblance(texts[i], texts[j]) >= 0.8:
+            a, b = of[i], of[j]
+            of = [min(a, b) if x in (a, b) else x for x in of]
+    return of
+
+
+def _edited(r, words, n):
+    """A copy with n changed words, far apart."""
+    out = list(words)
+    for k in range(n):
+        out[3 + k * (len(words) // n)] = f"e{r.randrange(10**9)}"
+    return out
+
+
+def test_links_are_decided_on_the_real_resemblance(spark):
+    r = random.Random(31)
+    texts = []
+    for n in [4] * 40 + [5] * 40:  # 196 shingles: 4 edits leave 176 (0.815), 5 leave 171 (0.774)
+        first = [f"w{r.randrange(10**9)}" for _ in range(200)]
+        texts += [" ".join(first), " ".join(_edited(r, first, n))]
+    found = {x.doc_id: x.component_id for x in simhash.near_classes(table(spark, texts), bits=0).collect()}
+    want = _alike_by_brute_force(texts, [(i, i + 1) for i in range(0, len(texts), 2)])
+    assert [found[i] for i in range(len(texts))] == want and len(set(want)) == 40 + 80
+
+
 # --- decontamination ------------------------------------------------------------
 
 

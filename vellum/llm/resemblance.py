@@ -6,8 +6,8 @@ changed words move 3 to 8 bits), so `simhash.keep_one` adds these links to its o
 Sketch.  The 256 minima of a text's 32-bit shingle hashes under 256 multiplications,
 16 bits of each kept; equal sketches are one class, and the share of equal minima
 estimates the Jaccard similarity of two shingle sets (standard error 0.025 at 0.8).
-A pair counts if the estimate is at most `SLACK` below the wanted similarity, so
-pairs of 0.8 itself are mostly found, and some of 0.75 are too.
+The estimate only drops pairs that are more than `SLACK` (four standard errors)
+below; what stays is decided on the sets of shingles themselves.
 
 Search.  The first 48 minima make 12 keys of 4.  Two texts of similarity s share a
 key with probability 1 - (1 - s**4)**12: 0.998 at 0.8, 0.01 at 0.17.  All pairs of
@@ -36,13 +36,15 @@ from .shared import written
 
 SHINGLE = 5
 MINIMA = 256
-SLACK = 0.02
+SLACK = 0.1
 BANDS, ROWS = 12, 4
 NEXT = 3
 PAIRS_UP_TO = 24
 HUBS = 4
 _SEED = 7
 _CHUNK = 512
+_BLOCK = 1 << 20
+_TEXTS = 256
 
 _rng = np.random.default_rng(20)
 _MULTIPLIERS = _rng.integers(1 << 30, 1 << 31, (MINIMA, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -98,6 +100,49 @@ def _bands(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(both).view(np.int64)), pa.array(np.tile(rep, NEXT))], names=["key", "rep"])
 
 
+def shingles(text: bytes) -> np.ndarray:
+    """The sorted set of a text's shingle hashes, of the words that the sketch takes."""
+    import xxhash
+
+    parts, codes, at = [], np.zeros(0, np.uint64), 0
+    while at < len(text):
+        end = min(len(text), at + _BLOCK)
+        while end < len(text) and text[end] not in b" \t\n\v\f\r":
+            end += 1
+        words = text[at:end].lower().split()
+        at = end
+        codes = np.concatenate((codes, np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(_SEED)), np.uint64, len(words))))
+        m = len(codes) - SHINGLE + 1
+        if m > 0:
+            parts.append(np.unique(sum(codes[k : k + m] * _PLACES[k] for k in range(SHINGLE))))
+            codes = codes[m:]
+    if not parts and len(codes):
+        parts.append((codes * _PLACES[: len(codes)]).sum(keepdims=True) + np.uint64(len(codes)))
+    return np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]))
+
+
+def _sets(batches):
+    """Rows (rep, s): the shingle set of each text."""
+    for batch in K.each(batches, _TEXTS):
+        column = batch.column("text").cast(pa.large_binary())
+        sets = [shingles(v.as_buffer().to_pybytes()).tobytes() for v in column]
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "s"])
+
+
+def _hashes(column) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+
+
+def _equal(batches, least: float):
+    """Rows whose two sets resemble each other."""
+    for batch in K.each(batches, _TEXTS):
+        keep = []
+        for x, y in zip(_hashes(batch.column("sa")), _hashes(batch.column("sb")), strict=True):
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both + 1e-9 >= least * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _alike(batches, least: float):
     """Rows whose two sketches agree in enough minima."""
     for batch in K.each(batches):
@@ -127,14 +172,21 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return to_hubs.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))
 
 
-def links(distinct: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Pairs (a, b) of representatives that resemble each other; distinct: rep, sketch, keys, each sketch once."""
+def _both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Pairs with the value of each end, as sa and sb."""
+    a, b = (values.select(F.col("rep").alias(k), F.col(name).alias(f"s{k}")) for k in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
+
+
+def links(distinct: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Pairs (a, b) of representatives that resemble each other; distinct: rep, sketch, keys, each sketch once; texts: rep, text."""
     first = written(_counted(distinct.select("rep", F.explode("keys").alias("key")).select("key", "rep")), "bands")
     pairs = _all_pairs(first)
     large = first.where(F.col("n") > PAIRS_UP_TO).select("key", "rep")
     again = large.join(distinct.select("rep", "keys"), "rep").mapInArrow(_bands, "key long, rep long")
     second = written(_counted(again), "bands")
     pairs = written(pairs.unionAll(_all_pairs(second)).unionAll(_hub_pairs(second)).distinct(), "pairs")
-    sketches = distinct.select("rep", "sketch")
-    both = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.mapInArrow(functools.partial(_alike, least=similarity - SLACK), "a long, b long")
+    near = written(_both(pairs, distinct, "sketch").mapInArrow(functools.partial(_alike, least=similarity - SLACK), "a long, b long"), "near")
+    needed = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
+    sets = written(texts.where("text IS NOT NULL").join(needed, "rep", "left_semi").select("rep", "text").mapInArrow(_sets, "rep long, s binary"), "sets")
+    return _both(near, sets, "s").mapInArrow(functools.partial(_equal, least=similarity), "a long, b long")

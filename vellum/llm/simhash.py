@@ -244,9 +244,10 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     by_print = written(nodes.groupBy("fp").agg(F.min("node").alias("rep")), "distinct")
     by_sketch = nodes.where("sketch IS NOT NULL").groupBy("sid").agg(F.min("node").alias("rep"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     by_sketch = written(by_sketch, "sketches")
+    texts = docs.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
     same_print = nodes.join(by_print, "fp").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     same_sketch = nodes.join(by_sketch.select("sid", "rep"), "sid").select(F.col("rep").alias("a"), F.col("node").alias("b"))
-    found = components(links(by_print, bits).unionAll(resemblance.links(by_sketch, similarity)).unionAll(same_print).unionAll(same_sketch))
+    found = components(links(by_print, bits).unionAll(resemblance.links(by_sketch, texts, similarity)).unionAll(same_print).unionAll(same_sketch))
     named = nodes.join(found, "node", "left").select("fp", "sid", F.coalesce("component", "node").alias("component_id"))
     return prints.select("doc_id", "fp", "sid").join(named, ["fp", "sid"]).select("doc_id", "component_id")
 
