@@ -235,6 +235,18 @@ def test_links_are_decided_on_the_real_resemblance(spark):
     assert [found[i] for i in range(len(texts))] == want and len(set(want)) == 40 + 80
 
 
+def test_pairs_within_a_large_family_are_found(spark):
+    r = random.Random(32)
+    template = [f"t{k}" for k in range(200)]
+    texts = []
+    for _ in range(60):  # all resemble each other by about 0.7; two of each pair by more than 0.8
+        own = [f"o{r.randrange(10**9)}" for _ in range(40)]
+        texts += [" ".join(template + own), " ".join(template + _edited(r, own, 2))]
+    found = {x.doc_id: x.component_id for x in simhash.near_classes(table(spark, texts), bits=0).collect()}
+    want = _alike_by_brute_force(texts, [(i, j) for j in range(len(texts)) for i in range(j)])
+    assert [found[i] for i in range(len(texts))] == want and len(set(want)) == 60
+
+
 # --- decontamination ------------------------------------------------------------
 
 

@@ -11,11 +11,13 @@ below; what stays is decided on the sets of shingles themselves.
 
 Search.  The first 48 minima make 12 keys of 4.  Two texts of similarity s share a
 key with probability 1 - (1 - s**4)**12: 0.998 at 0.8, 0.01 at 0.17.  All pairs of
-a key with up to `PAIRS_UP_TO` sketches are verified.  The members of a larger key
-are dealt again by that key and each of the next three; what stays large there is
-a group that agrees in eight minima, and each member is verified against `HUBS`
-members (the first in as many hashed orders), not against all.  So work is linear
-in the group.
+a key with up to `PAIRS_UP_TO` sketches are candidates.  The members of larger keys
+are compared with `HUBS` members a key (the first in as many hashed orders), which
+joins dense groups cheaply, and then by an exact prefix filter: in one order of all
+shingles, seldom ones first, two sets of similarity s have their first common
+shingle among the first (1 - s) of each, and it leaves room for the overlap they
+need.  Only pairs that are not connected already are looked at.  So a group that
+shares a template costs little unless its members do resemble each other.
 
 Defined results: null and empty texts, and texts without a word, have no sketch and
 no link; a text of fewer words than a shingle is one shingle.
@@ -38,12 +40,13 @@ SHINGLE = 5
 MINIMA = 256
 SLACK = 0.1
 BANDS, ROWS = 12, 4
-NEXT = 3
 PAIRS_UP_TO = 24
 HUBS = 4
 _SEED = 7
 _CHUNK = 512
 _BLOCK = 1 << 20
+#: Shingles are counted by this many upper bits of their hashes; any count gives a right order.
+_BITS = 20
 _TEXTS = 256
 
 _rng = np.random.default_rng(20)
@@ -90,16 +93,6 @@ class Sketcher:
         return (self.least & np.uint32(0xFFFF)).astype("<u2").tobytes(), keys.view(np.int64).tolist()
 
 
-def _bands(batches):
-    """Rows (key, rep): each key of a row together with the keys of the next NEXT bands."""
-    for batch in K.each(batches):
-        key, rep = (np.asarray(batch.column(c)) for c in ("key", "rep"))
-        keys = np.asarray(batch.column("keys").flatten()).reshape(-1, BANDS)
-        band = (keys == key[:, None]).argmax(axis=1)
-        both = [key.view(np.uint64) * _FACTORS[0] + keys[np.arange(len(key)), (band + d) % BANDS].view(np.uint64) * _FACTORS[1] for d in range(1, NEXT + 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(both).view(np.int64)), pa.array(np.tile(rep, NEXT))], names=["key", "rep"])
-
-
 def shingles(text: bytes) -> np.ndarray:
     """The sorted set of a text's shingle hashes, of the words that the sketch takes."""
     import xxhash
@@ -133,6 +126,35 @@ def _hashes(column) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
 
 
+def _bins(batches):
+    """How many shingles of the task's sets fall into each bin."""
+    total = np.zeros(1 << _BITS, np.int64)
+    for batch in K.each(batches, _TEXTS):
+        for h in _hashes(batch.column("s")):
+            total += np.bincount((h >> np.uint64(64 - _BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bin", "n"])
+
+
+def _prefixes(batches, counts: np.ndarray, similarity: float):
+    """Rows (key, pos, n, rep, comp): the first shingles of each set of n, among which a set that resembles it has one too."""
+    for batch in K.each(batches, _TEXTS):
+        keys, places, sizes, rows = ([np.zeros(0, t)] for t in (np.uint64, np.int64, np.int64, np.int64))
+        for row, h in enumerate(_hashes(batch.column("s"))):
+            n = len(h)
+            m = n - int(np.ceil(similarity * n - 1e-9)) + 1
+            order = np.lexsort((h, counts[(h >> np.uint64(64 - _BITS)).astype(np.int64)]))[:m]
+            keys.append(h[order])
+            places.append(np.arange(m))
+            sizes.append(np.full(m, n))
+            rows.append(np.full(m, row))
+        at = pa.array(np.concatenate(rows))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(sizes)), batch.column("rep").take(at), batch.column("comp").take(at)],
+            names=["key", "pos", "n", "rep", "comp"],
+        )
+
+
 def _equal(batches, least: float):
     """Rows whose two sets resemble each other."""
     for batch in K.each(batches, _TEXTS):
@@ -178,15 +200,42 @@ def _both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb")
 
 
+def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of different components that can resemble each other; sets: rep, s, comp."""
+    counts = np.zeros(1 << _BITS, np.int64)
+    got = sets.select("s").mapInArrow(_bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    counts[np.asarray(got["bin"])] = np.asarray(got["n"])
+    make = functools.partial(_prefixes, counts=counts.astype(np.uint32), similarity=similarity)
+    rows = sets.select("rep", "s", "comp").mapInArrow(make, "key long, pos long, n long, rep long, comp long")
+    rows = written(rows, "prefixes")
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    rows = written(rows.join(mixed, "key"), "mixed")
+    # An overlap of o is needed: o >= share * (n of both).  The smaller set's first common shingle leaves room for twice its own share.
+    share = similarity / (1 + similarity)
+    short = rows.where(f"n - pos >= {2 * share} * n - 1e-6")
+    met = short.select("key", "comp").distinct().join(rows.select("key", F.col("comp").alias("comp_y")).distinct(), "key").where("comp != comp_y")
+    x = met.join(short.select("key", "comp", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px")), ["key", "comp"])
+    y = rows.select("key", F.col("comp").alias("comp_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+    room = f"nx <= ny AND nx >= {similarity} * ny - 1e-6 AND least(nx - px, ny - py) >= {share} * (nx + ny) - 1e-6"
+    return x.join(y, ["key", "comp_y"]).where(room).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def links(distinct: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Pairs (a, b) of representatives that resemble each other; distinct: rep, sketch, keys, each sketch once; texts: rep, text."""
+    """Pairs (a, b) of representatives that connect those that resemble each other; distinct: rep, sketch, keys, each sketch once; texts: rep, text."""
+    from .simhash import components
+
+    alike = functools.partial(_alike, least=similarity - SLACK)
+    equal = functools.partial(_equal, least=similarity)
     first = written(_counted(distinct.select("rep", F.explode("keys").alias("key")).select("key", "rep")), "bands")
-    pairs = _all_pairs(first)
-    large = first.where(F.col("n") > PAIRS_UP_TO).select("key", "rep")
-    again = large.join(distinct.select("rep", "keys"), "rep").mapInArrow(_bands, "key long, rep long")
-    second = written(_counted(again), "bands")
-    pairs = written(pairs.unionAll(_all_pairs(second)).unionAll(_hub_pairs(second)).distinct(), "pairs")
-    near = written(_both(pairs, distinct, "sketch").mapInArrow(functools.partial(_alike, least=similarity - SLACK), "a long, b long"), "near")
-    needed = near.select(F.col("a").alias("rep")).union(near.select("b")).distinct()
+    pairs = written(_all_pairs(first).unionAll(_hub_pairs(first)).distinct(), "pairs")
+    near = written(_both(pairs, distinct, "sketch").mapInArrow(alike, "a long, b long"), "near")
+    large = written(first.where(F.col("n") > PAIRS_UP_TO).select("rep").distinct(), "large")
+    needed = written(near.select(F.col("a").alias("rep")).union(near.select("b")).union(large).distinct(), "needed")
     sets = written(texts.where("text IS NOT NULL").join(needed, "rep", "left_semi").select("rep", "text").mapInArrow(_sets, "rep long, s binary"), "sets")
-    return _both(near, sets, "s").mapInArrow(functools.partial(_equal, least=similarity), "a long, b long")
+    found = written(_both(near, sets, "s").mapInArrow(equal, "a long, b long"), "found")
+    if large.isEmpty():
+        return found
+    named = large.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+    more = _prefix_pairs(sets.join(written(named, "named"), "rep"), similarity)
+    more = _both(written(more, "pairs"), distinct, "sketch").mapInArrow(alike, "a long, b long")
+    return found.unionAll(_both(written(more, "near"), sets, "s").mapInArrow(equal, "a long, b long")).distinct()
