@@ -157,3 +157,10 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(left) == {*range(120), 204} and left[204].endswith("write to [EMAIL]")
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == set(left)
+
+
+@pytest.mark.parametrize("part", ["<svg width='1'/>", "<math/>", "<datalist><option>unseen<option>unseen</datalist>", "<button>unseen<div>unseen</button>", "<div><select><option>unseen</div>", "<svg><path d=''/><style/><text>unseen</text></svg>", "<svg><g>unseen", "<template><p>unseen</p></template>"])
+def test_only_raw_text_hides_what_follows(part):
+    blocks = html_extract.parse(f"<div><p>first</p>{part}<p>second</p></div><p>third</p>")
+    seen = "".join(x for b in blocks for x in b.pieces if isinstance(x, str))
+    assert seen == "firstsecondthird"

@@ -36,7 +36,10 @@ DEPTH = 256
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select button option object".split())
+RAW = frozenset("script style textarea title noscript iframe".split())
+FOREIGN = frozenset(("svg", "math"))
+#: Elements whose content is no text of the page; they end with their parent at the latest.
+UNSEEN = FOREIGN | frozenset("template select button option object".split())
 BLOCK = frozenset("html body head address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"html", "body", "head", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "summary", "figcaption"}
 #: A start tag ends an open element of these kinds, up to the nearest of the second.
@@ -71,7 +74,7 @@ def parse(page: str) -> list[Block]:
     lower = None
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and stack[-1][1] >= 0:
             b = blocks[stack[-1][1]]
             b.pieces.append(raw)
             size = len(raw) - raw.count(" ")
@@ -102,9 +105,12 @@ def parse(page: str) -> list[Block]:
                 if stack[k][0] == tag:
                     close(k)
                     break
-                if tag not in BLOCK and stack[k][0] in BLOCK:
+                if tag not in BLOCK and tag not in UNSEEN and stack[k][0] in BLOCK:
                     break  # inline markup ends no block
             continue
+        attrs = m[3] or m[6] or ""
+        if attrs.endswith("/") and (tag in FOREIGN or any(t in FOREIGN for t, _ in stack)):
+            continue
         if tag in RAW:
             if lower is None:
                 lower = page.lower()
@@ -112,7 +118,13 @@ def parse(page: str) -> list[Block]:
             stop = page.find(">", end) if end >= 0 else -1
             at = n if stop < 0 else stop + 1
             continue
-        attrs = m[3] or m[6] or ""
+        if tag in BLOCK:  # ends a drawing or formula that was not closed
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] in ("foreignobject", "annotation-xml"):
+                    break
+                if stack[k][0] in FOREIGN:
+                    close(k)
+                    break
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
@@ -129,8 +141,8 @@ def parse(page: str) -> list[Block]:
                     close(k)
                     if tag not in ("tr",):
                         break
-        here = stack[-1][1]
-        if tag not in BLOCK:
+        here = -1 if tag in UNSEEN else stack[-1][1]  # -1: nowhere
+        if tag not in BLOCK and here >= 0:
             blocks[here].tags += 1
             if tag == "br":
                 blocks[here].pieces.append(" ")
@@ -145,7 +157,7 @@ def parse(page: str) -> list[Block]:
                 if stack[k][0] in BLOCK:
                     break
             anchors += 1
-        if tag in BLOCK and len(stack) < DEPTH:
+        if tag in BLOCK and here >= 0 and len(stack) < DEPTH:
             new = Block(tag, attrs, here, blocks[here].depth + 1)
             new.hidden = bool(attrs) and bool(_STYLE_HIDDEN.search(attrs))
             blocks.append(new)
