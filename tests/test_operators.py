@@ -218,3 +218,16 @@ def test_every_sql_has_its_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_paths_longer_than_64_steps(spark):
+    names = [f"n{i:02}" for i in range(68)]
+    chain = spark.createDataFrame(list(zip(names, names[1:], strict=False)), "src string, dst string").coalesce(1).cache()
+    start = spark.createDataFrame([(names[0],)], "node string")
+    assert graph.reachable(chain, start).agg(F.max("depth")).first()[0] == 67
+    got = graph.shortest(chain.withColumn("cost", F.lit(1)), F.lit(names[0])).orderBy("cost").collect()
+    assert [x.cost for x in got] == list(range(68)) and got[-1].path == ">".join(names)
+    calls = chain.selectExpr("src AS caller", "dst AS callee", "'x' AS caller_label", "'x' AS callee_label")
+    sink = spark.createDataFrame([(names[-1], "x", "bad")], "function string, label string, sink_label string")
+    seed = spark.createDataFrame([(names[0], "x")], "function string, label string")
+    assert [x.chain for x in graph.taint(calls, sink, seed).collect()] == [">".join(names)]

@@ -6,19 +6,21 @@ subtract what was seen; each round is checkpointed, so plans stay small.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import settle
 
 
-def reachable(edges: DataFrame, starts: DataFrame | None = None, rounds: int = 64) -> DataFrame:
-    """(src, dst, depth): every node that a start reaches, itself left out, with its least depth; cycles end by themselves."""
+def reachable(edges: DataFrame, starts: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """(src, dst, depth): every node that a start reaches, itself left out, with its least depth; cycles end by themselves.  With rounds, only those within so many steps."""
     e = edges.select("src", "dst").where("src != dst").distinct()
     begin = starts.select(F.col("node").alias("src")).distinct() if starts is not None else e.select("src").distinct()
     frontier = settle(begin.join(e, "src").select("src", "dst", F.lit(1).alias("depth")))
     seen = frontier
-    for depth in range(2, rounds + 1):
+    for depth in count(2) if rounds is None else range(2, rounds + 1):
         step = frontier.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").where("src != dst").distinct()
         frontier = settle(step.join(seen.select("src", "dst"), ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -89,24 +91,27 @@ def entangled(base: DataFrame, head: DataFrame, over: float = 0.75) -> DataFrame
     return clustering(head).join(ends, "node", "left_semi").where(F.col("coefficient") > over)
 
 
-def shortest(edges: DataFrame, source: Column, rounds: int = 64) -> DataFrame:
-    """Node, cost, path (joined by >) of the cheapest way from a source; equal costs take the path that sorts first."""
+def shortest(edges: DataFrame, source: Column) -> DataFrame:
+    """Node, cost, path (joined by >) of the cheapest way from a source; equal costs take the path that sorts first; a cycle of negative cost that the source reaches is an error."""
     e = edges.groupBy("src", "dst").agg(F.min("cost").alias("step"))
     best = settle(e.sparkSession.range(1).select(source.cast("string").alias("node"), F.lit(0).cast("long").alias("cost"), source.cast("string").alias("path")))
-    for _ in range(rounds):
+    nodes = e.select("src").union(e.select("dst")).distinct().count()
+    for done in count(1):
         longer = best.withColumnRenamed("node", "src").join(e, "src").select(F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.lit(">"), "dst").alias("path"))
         after = settle(best.unionAll(longer).groupBy("node").agg(F.min(F.struct("cost", "path")).alias("b")).select("node", "b.cost", "b.path"))
         if after.exceptAll(best).isEmpty():
             break
+        if done > nodes and not after.join(best.select("node", F.col("cost").alias("before")), "node").where("cost < before").isEmpty():
+            raise ValueError("a cycle of negative cost has no cheapest way")
         best = after
     return best
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Node, component (smallest node reachable): every node takes its neighbours' least label, then its label's label."""
     e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).distinct()
     labels = settle(e.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = e.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         moved = labels.join(near, "node").select("node", F.least("component", "m").alias("component"))
         jumped = moved.join(moved.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"))
@@ -117,7 +122,7 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return labels
 
 
-def taint(calls: DataFrame, sinks: DataFrame, seeds: DataFrame, passthroughs: DataFrame | None = None, rounds: int = 64) -> DataFrame:
+def taint(calls: DataFrame, sinks: DataFrame, seeds: DataFrame, passthroughs: DataFrame | None = None) -> DataFrame:
     """Witnesses (seed_function, seed_label, function, label, sink_label, chain) of labels that flow along calls to a sink.
 
     calls: caller, callee, caller_label, callee_label; sinks: function, label,
@@ -129,7 +134,7 @@ def taint(calls: DataFrame, sinks: DataFrame, seeds: DataFrame, passthroughs: Da
     facts = settle(start.select(F.col("function").alias("seed_function"), F.col("label").alias("seed_label"), "function", "label", F.col("function").alias("chain")))
     frontier = facts
     key = ["seed_function", "seed_label", "function", "label"]
-    for _ in range(rounds):
+    while True:
         c = calls.select(F.col("caller").alias("function"), F.col("caller_label").alias("label"), "callee", "callee_label")
         step = frontier.join(c, ["function", "label"]).select("seed_function", "seed_label", F.col("callee").alias("function"), F.col("callee_label").alias("label"), F.concat("chain", F.lit(">"), "callee").alias("chain"))
         if passthroughs is not None:
