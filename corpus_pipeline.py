@@ -17,7 +17,7 @@ from vellum.llm.queries import tokenizer_path
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those that the classifier rejects go."""
     model = langid.train(docs.where(~langid.held_out()))
-    return langid.predict(docs, model).where("NOT rejected").select(docs.columns)
+    return langid.known(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,8 @@ def benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Documents that hold no copy of a test item."""
     found = decontam.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     # Written first, so that the planner knows its size: the texts are shuffled only if the ids are too many to broadcast.
-    leaks = shared.written(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"] == F.col("__leak"), "left_anti")
+    leaks = shared.written(found.select("doc_id").distinct(), "leaks")
+    return docs.join(leaks, docs["doc_id"] == leaks["doc_id"], "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

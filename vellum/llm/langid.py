@@ -13,9 +13,10 @@ one segmented sum over its bytes.
 
 Defined results: a null text or one with no letters is ``und`` with score 0 and
 rejected; ties between languages go to the first in alphabetical order; without
-any labelled row every text is ``und``.  Other columns pass through untouched,
-under any name; the columns that ``predict`` adds replace input columns of the
-same name.
+any labelled row every text is ``und``; rows with a null key are not sampled, and
+their ``held_out`` is null.  Other columns pass through untouched, under any name;
+the columns that ``predict`` adds replace input columns of the same name, and
+``known`` keeps the input's rows and columns as they are.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ SIZES = (2, 3, 4)
 DIM = 16
 #: Rows of each language that are sampled for training and calibration, about.
 ROWS_PER_LANGUAGE = 1000
+#: Rows of a slice while sampling.
+_SAMPLED = 256
 
 _TABLE = K.letter_table()
 _MUL = np.uint32(0x01000193)
@@ -131,24 +134,35 @@ def score_batch(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray,
 # --- training -----------------------------------------------------------------
 
 
+def _added(found: tuple[np.ndarray, np.ndarray] | None, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets with counts, of what was found and of a further part."""
+    fresh, n = np.unique(buckets[buckets != BUCKETS], return_counts=True)
+    if found is None:
+        return fresh, n
+    both, at = np.unique(np.concatenate((found[0], fresh)), return_inverse=True)
+    return both, np.bincount(at, np.concatenate((found[1], n)), len(both))
+
+
 def _counts_of(batches, text: str, lang: str):
-    """One row per text: language, distinct buckets and their shares of the text's n-grams."""
-    for batch in K.each(batches):
+    """One row per text: language, distinct buckets and their shares of the text's n-grams; only distinct buckets are held, never a dense row."""
+    for batch in K.each(batches, _SAMPLED):
         low = K.lowered(batch.column(text))
-        found: dict[int, dict] = {}
-        for rows, parts in K.windows(low):
+        out_b, out_w = [b""] * len(low), [b""] * len(low)
+        at, found = 0, None
+
+        def end(row: int, found) -> None:
+            if found is not None:
+                out_b[row] = found[0].astype("<u4").tobytes()  # noqa: B023
+                out_w[row] = (found[1] / max(found[1].sum(), 1)).astype("<f4").tobytes()  # noqa: B023
+
+        for rows, parts in K.windows(low):  # the parts of a text follow one another
             for row, part in zip(rows, parts, strict=True):
+                if row != at:
+                    end(at, found)
+                    at, found = row, None
                 buf, _ = K.joined([part], _TABLE, b" ")
-                all_buckets = np.concatenate([b for b in gram_buckets(buf) if len(b)] or [np.empty(0, np.int32)])
-                full = found.setdefault(row, np.zeros(0))
-                counted = np.bincount(all_buckets, minlength=BUCKETS + 1)[:BUCKETS].astype(np.float64)
-                found[row] = counted if not len(full) else full + counted
-        out_b, out_w = [], []
-        for row in range(len(low)):
-            nz = np.flatnonzero(found[row])
-            out_b.append(nz.astype("<u4").tobytes())
-            w = found[row][nz]
-            out_w.append((w / max(w.sum(), 1)).astype("<f4").tobytes())
+                found = _added(found, np.concatenate([b for b in gram_buckets(buf) if len(b)] or [np.empty(0, np.int32)]))
+        end(at, found)
         yield pa.RecordBatch.from_arrays([batch.column(lang).cast(pa.string()), pa.array(out_b, pa.binary()), pa.array(out_w, pa.binary())], names=["lang", "buckets", "weights"])
 
 
@@ -250,6 +264,16 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(functools.partial(_predict, model=model, text=text), schema)
 
 
+def _known(batches, model: Model, text: str):
+    for batch in K.each(batches, K.SLICE):
+        yield batch.filter(pa.array(~score_batch(batch.column(text), model)[2]))
+
+
+def known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose language is not rejected, with the input's columns only."""
+    return docs.mapInArrow(functools.partial(_known, model=model, text=text), docs.schema)
+
+
 def held_out(key: str = "doc_id"):
     """The rows that training never sees: crc32 of the key as text divides by 5."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0

@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from . import textkit as K
 
 #: Distinct pre-tokens that a task keeps; beyond, it starts anew.
-CACHE = 1_000_000
-WINDOW = 1 << 21
+CACHE = 1 << 17
+WINDOW = 1 << 19
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
 
