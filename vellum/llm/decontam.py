@@ -7,19 +7,22 @@ the corpus has copied is found by whatever an edited copy keeps.  A second pass
 joins documents to items on the seeds.  No alignment scores more than the weight
 of the item's words that the text holds at all; pairs, and then places in the
 text, that this bound keeps under the threshold are left out, which loses
-nothing.  The words around the other seeds are aligned: Smith-Waterman with matches weighted by the rarity of the word, so that
-edited, reordered in part or paraphrased copies still score high and passages
-that merely share common words do not.  The score is the alignment's weight as a
-share of the item's own.
+nothing.  The words around the other seeds are aligned: Smith-Waterman with
+matches weighted by the rarity of the word, so that edited, reordered in part or
+paraphrased copies still score high and passages that merely share common words do
+not.  The score is the alignment's weight as a share of the item's own.
 
 Test items are a stated query set: they go to the executors in blocks of at most
 ``BLOCK_WORDS`` words (a checked size), each block against all documents; the
 documents themselves are never shuffled.
 
 Defined results: null, empty and wordless texts or items match nothing; items of
-fewer than ``SEED`` words are matched as a whole gram; a repeated item id or
-document id gives a row for each of its rows; scores tie freely, since every
-pair at or above the threshold is returned.
+fewer than ``SEED`` words are matched by their first word; a repeated item id or
+document id gives a row for each of its rows, a null item id none, a null document
+id rows with a null doc_id; a text that holds an item more than once gives one row,
+of the best alignment (the first of equal ones); pairs tie freely, since every one
+at or above the threshold is returned.  Words longer than a window of a megabyte
+count as several.
 """
 
 from __future__ import annotations
@@ -242,26 +245,28 @@ def _align(words: np.ndarray, hits: np.ndarray, ix: Index, item: int, threshold:
 def _match(batches, ix: Index, threshold: float):
     lookup, vocabulary = _Lookup(ix.seeds), _Lookup(ix.known)
     items = np.int64(len(ix.weights))
+    # A window of a long text begins with so many words of the one before: no stretch that `_align` looks at is cut.
+    span = 4 * max(map(len, ix.weights), default=0) + 8
     for batch in K.each(batches, K.SLICE):
         low = K.lowered(batch.column(1))
         found: dict[tuple[int, int], tuple[float, int, int, int]] = {}
-        before: dict[int, int] = {}
-        # Windows of a long text overlap by what an item can span, so no copy is cut in two.
-        overlap: dict[int, bytes] = {}
+        last, tail, place_of_tail = -1, np.empty(0, np.uint64), 0
         for rows, parts in K.windows(low):
-            for k, row in enumerate(rows):
-                if row in overlap:
-                    parts[k] = overlap.pop(row) + parts[k]
-                last = parts[k]
-                if len(last) >= K.WINDOW // 2:
-                    cut = last.rfind(b" ", 0, max(0, len(last) - (1 << 16)))
-                    overlap[row] = last[max(cut, 0) :]
             words, owner = _hashes(parts)
+            # Parts of one text in a window are one; so is what is left of the window before.
+            fresh = np.concatenate(([True], np.diff(rows) != 0))
+            owner, rows = (np.cumsum(fresh) - 1)[owner], np.asarray(rows)[fresh].tolist()
+            shift = [0] * len(rows)
+            if rows[0] == last:
+                words, owner = np.concatenate((tail, words)), np.concatenate((np.zeros(len(tail), np.int64), owner))
+                shift[0] = place_of_tail
+            bounds = np.searchsorted(owner, np.arange(len(rows) + 1))
+            keep = max(int(bounds[-2]), len(words) - span)
+            last, tail, place_of_tail = rows[-1], words[keep:], shift[-1] + keep - int(bounds[-2])
             grams = _grams(words, owner)
             at, which = lookup.find(grams)
             at_w, which_w = lookup.find(words)
             at, which = np.concatenate((at, at_w)), np.concatenate((which, which_w))
-            bounds = np.searchsorted(owner, np.arange(len(parts) + 1))
             pairs = _possible(owner[at], which, words, bounds, ix, vocabulary, threshold)
             if len(pairs):
                 kept = []
@@ -281,13 +286,7 @@ def _match(batches, ix: Index, threshold: float):
                     hits = hits[np.lexsort((hits[:, 0], hits[:, 0] - hits[:, 1]))]
                     got = _align(words[lo : bounds[p + 1]], hits, ix, it, threshold)
                     if got and got[0] > found.get((rows[p], it), (0.0,))[0]:
-                        shift = before.get(rows[p], 0)
-                        found[rows[p], it] = (got[0], len(group), got[1] + shift, got[2] + shift)
-            for p, row in enumerate(rows):
-                n = int(np.searchsorted(owner, p, "right") - np.searchsorted(owner, p, "left"))
-                before[row] = before.get(row, 0) + n
-                if row in overlap:
-                    before[row] -= len(_hashes([overlap[row]])[0])
+                        found[rows[p], it] = (got[0], len(group), got[1] + shift[p], got[2] + shift[p])
         keys = sorted(found)
         ids = batch.column(0)
         yield pa.RecordBatch.from_arrays(
