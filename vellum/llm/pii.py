@@ -113,24 +113,32 @@ def _spans(kind: str, gaps: Column, matches: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda a: a["out"])
 
 
-def _cut(df: DataFrame, text: str, kinds) -> DataFrame:
-    """Adds, for each kind, __m_kind and __g_kind: matches and gaps; empty unless the cheap test passes."""
+def _prefix(docs: DataFrame) -> str:
+    """What no column's name begins with, for columns that are only there in between."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
+def _cut(df: DataFrame, text: str, kinds, own: str) -> DataFrame:
+    """Adds, for each kind, m_kind and g_kind after the prefix: matches and gaps; empty unless the cheap test passes."""
     none = F.array().cast("array<string>")
     t = F.col(text)
-    df = df.withColumns({f"__m_{k}": F.when(_test(k, t), F.regexp_extract_all(t, F.lit(KINDS[k][0]), F.lit(0))).otherwise(none) for k in kinds})
-    return df.withColumns({f"__g_{k}": F.when(F.size(f"__m_{k}") > 0, F.split(t, KINDS[k][0], -1)).otherwise(none) for k in kinds})
+    df = df.withColumns({f"{own}m_{k}": F.when(_test(k, t), F.regexp_extract_all(t, F.lit(KINDS[k][0]), F.lit(0))).otherwise(none) for k in kinds})
+    return df.withColumns({f"{own}g_{k}": F.when(F.size(f"{own}m_{k}") > 0, F.split(t, KINDS[k][0], -1)).otherwise(none) for k in kinds})
 
 
 def find(docs: DataFrame, text: str = "text", kinds=tuple(KINDS), into: str = "spans") -> DataFrame:
     """The input's columns with an array of spans (kind, start, end, score, base), by start and then kind as listed; places in code points, end exclusive."""
-    names = [c for c in docs.columns if c != into]
-    df = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias("__t"))
-    df = _cut(df, "__t", kinds)
-    found = F.concat(*(F.when(F.size(f"__m_{k}") > 0, _spans(k, F.col(f"__g_{k}"), F.col(f"__m_{k}"))).otherwise(F.array().cast(f"array<{_SPAN}>")) for k in kinds))
-    df = df.select(*names, found.alias("__all"))
+    names, own = [c for c in docs.columns if c != into], _prefix(docs)
+    df = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias(f"{own}t"))
+    df = _cut(df, f"{own}t", kinds, own)
+    found = F.concat(*(F.when(F.size(f"{own}m_{k}") > 0, _spans(k, F.col(f"{own}g_{k}"), F.col(f"{own}m_{k}"))).otherwise(F.array().cast(f"array<{_SPAN}>")) for k in kinds))
+    df = df.select(*names, found.alias(f"{own}all"))
     order = lambda s: F.array_position(F.array(*[F.lit(k) for k in KINDS]), s["kind"])
-    ranked = F.sort_array(F.transform("__all", lambda s: F.struct(s["start"].alias("start"), order(s).alias("k"), s["end"].alias("end"), s.alias("span"))))
-    return df.select(*names, F.when(F.size("__all") > 1, F.transform(ranked, lambda s: s["span"])).otherwise(F.col("__all")).alias(into))
+    ranked = F.sort_array(F.transform(f"{own}all", lambda s: F.struct(s["start"].alias("start"), order(s).alias("k"), s["end"].alias("end"), s.alias("span"))))
+    return df.select(*names, F.when(F.size(f"{own}all") > 1, F.transform(ranked, lambda s: s["span"])).otherwise(F.col(f"{own}all")).alias(into))
 
 
 def joined(spans: Column) -> Column:
@@ -140,13 +148,13 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", kinds=tuple(KINDS)) -> DataFrame:
     """The input with every span that `find` would keep replaced by its kind in brackets; rebuilt from gaps and matches, so in one pass for each kind."""
-    names = docs.columns
+    names, own = docs.columns, _prefix(docs)
     df = docs
     for kind in kinds:
         _, _, prior, context = KINDS[kind]
-        df = df.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-        df = _cut(df, "__t", [kind])
-        m, g = F.col(f"__m_{kind}"), F.col(f"__g_{kind}")
+        df = df.withColumn(f"{own}t", F.coalesce(F.col(text), F.lit("")))
+        df = _cut(df, f"{own}t", [kind], own)
+        m, g = F.col(f"{own}m_{kind}"), F.col(f"{own}g_{kind}")
         near = lambda p: F.right(p, F.lit(CONTEXT)).rlike(rf"(?i)\b(?:{context})")  # noqa: B023, E731
         keep = lambda gap, match: _valid(kind, match) if kind in BASE else _valid(kind, match) & ((F.lit(prior) + F.when(near(gap), BOOST).otherwise(0.0)) >= LEAST)  # noqa: B023, E731
         parts = F.zip_with(F.slice(g, 1, F.size(m)), m, lambda gap, match: F.concat(gap, F.when(keep(gap, match), F.lit(f"[{kind.upper()}]")).otherwise(match)))  # noqa: B023

@@ -254,5 +254,6 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2, similarity: float = 0.8) -> DataFrame:
     """One document of each near-duplicate class: that with the smallest doc_id.  Rows that repeat its doc_id stay as they are the same document; rows without one stay."""
-    found = near_classes(docs, text, key, shingle, bits, similarity).where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs[key] == F.col("__gone"), "left_anti")
+    found = near_classes(docs, text, key, shingle, bits, similarity).where("doc_id != component_id").select("doc_id").distinct()
+    gone = written(found, "gone")  # its size is known now: the texts are shuffled only if the ids are too many to broadcast
+    return docs.join(gone, docs[key] == gone["doc_id"], "left_anti")
