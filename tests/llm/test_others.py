@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from vellum.llm import html_extract, html_pages, shared, topk, warc
 
 
-def test_search_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 64)
+@pytest.mark.parametrize("block", [64, 8192])
+def test_search_against_brute_force(spark, block):
     r = np.random.default_rng(1)
     rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(400)]
     rows += [(1000 + i, rows[i % 5][1]) for i in range(30)]  # ties
@@ -20,7 +20,7 @@ def test_search_against_brute_force(spark, monkeypatch):
     odd = [(2000, None), (2100, []), (2200, [float("nan")] * 8), (2300, [float("inf")] + [0.0] * 7), (2400, [None] * 8), (2500, [1.0, 2.0])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
     got = {}
-    for x in topk.search(df, df.where("vec_id % 100 = 0 AND vec_id != 50"), 10).collect():
+    for x in topk.search_index(topk.index(df, block=block), df.where("vec_id % 100 = 0 AND vec_id != 50"), 10).collect():
         got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
     vectors = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
     for q, v in vectors:
@@ -33,6 +33,23 @@ def test_search_against_brute_force(spark, monkeypatch):
     assert topk.search(few, few.where("vec_id = 0")).count() == 3
 
 
+def test_processing_stops_on_proof():
+    """The best are exact, and the proof ends most searches before all postings are processed."""
+    r = np.random.default_rng(9)
+    m = np.floor(1024 * r.normal(size=(4000, 64)) / 8).astype(np.int64)
+    m[:300] = m[0] + r.integers(-20, 20, (300, 64))  # a group of copies
+    block = topk.Block.of_row(topk.Block(np.arange(4000), m).to_row())
+    shares = []
+    for own in [0, 5, *range(400, 430)]:
+        ids, scores, share = block.search(m[own], 10, None, own)
+        exact = m @ m[own]
+        exact[own] = -(1 << 60)
+        best = np.lexsort((np.arange(4000), -exact))[:10]
+        assert (exact[ids] == scores).all() and set(best) <= set(ids)
+        shares.append(share)
+    assert max(shares) < 0.9 and np.mean(shares) < 0.75
+
+
 def _pages(spark, n=120):
     r = random.Random(2)
     rows = [(i, f"http://x.example/{i}", f"<p>{i % 40}" + "é" * r.randint(0, 50)) for i in range(n)]
@@ -43,7 +60,7 @@ def _pages(spark, n=120):
 def test_archive_round_trip(spark):
     rows, df = _pages(spark)
     root = shared.place(spark, "warc")
-    manifest = warc.write(df, root, smallest=1000, files=8)
+    manifest = warc.write(df, root, roll=1000)
     first = {}
     for i, _, h in rows:
         first.setdefault(h or "", i)
@@ -62,7 +79,7 @@ def test_archives_follow_from_pages_alone(spark):
     listed = []
     for n in (1, 7):
         root = shared.place(spark, "warc")
-        listed.append(sorted(map(tuple, warc.write(df.repartition(n), root, smallest=1000, files=8).collect())))
+        listed.append(sorted(map(tuple, warc.write(df.repartition(n), root, roll=1000).collect())))
     assert listed[0] == listed[1]
     ids = [(m[4], m[5]) for m in listed[0]]
     assert all(a[1] < b[0] for a, b in zip(ids, ids[1:], strict=False))  # ranges in order
