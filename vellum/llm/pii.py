@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import prefix
+
 CONTEXT = 40
 
 _LOCAL = "A-Za-z0-9._%+-"
@@ -113,14 +115,6 @@ def _spans(kind: str, gaps: Column, matches: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda a: a["out"])
 
 
-def _prefix(docs: DataFrame) -> str:
-    """What no column's name begins with, for columns that are only there in between."""
-    prefix = "__"
-    while any(c.lower().startswith(prefix) for c in docs.columns):
-        prefix += "_"
-    return prefix
-
-
 def _cut(df: DataFrame, text: str, kinds, own: str) -> DataFrame:
     """Adds, for each kind, m_kind and g_kind after the prefix: matches and gaps; empty unless the cheap test passes."""
     none = F.array().cast("array<string>")
@@ -131,7 +125,7 @@ def _cut(df: DataFrame, text: str, kinds, own: str) -> DataFrame:
 
 def find(docs: DataFrame, text: str = "text", kinds=tuple(KINDS), into: str = "spans") -> DataFrame:
     """The input's columns with an array of spans (kind, start, end, score, base), by start and then kind as listed; places in code points, end exclusive."""
-    names, own = [c for c in docs.columns if c != into], _prefix(docs)
+    names, own = [c for c in docs.columns if c != into], prefix(docs)
     df = docs.select(*names, F.coalesce(F.col(text), F.lit("")).alias(f"{own}t"))
     df = _cut(df, f"{own}t", kinds, own)
     found = F.concat(*(F.when(F.size(f"{own}m_{k}") > 0, _spans(k, F.col(f"{own}g_{k}"), F.col(f"{own}m_{k}"))).otherwise(F.array().cast(f"array<{_SPAN}>")) for k in kinds))
@@ -148,7 +142,7 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", kinds=tuple(KINDS)) -> DataFrame:
     """The input with every span that `find` would keep replaced by its kind in brackets; rebuilt from gaps and matches, so in one pass for each kind."""
-    names, own = docs.columns, _prefix(docs)
+    names, own = docs.columns, prefix(docs)
     df = docs
     for kind in kinds:
         _, _, prior, context = KINDS[kind]

@@ -34,6 +34,14 @@ def place(spark: SparkSession, name: str) -> str:
     return path
 
 
+def prefix(df: DataFrame) -> str:
+    """What no column's name begins with, for columns that are only there in between."""
+    own = "__"
+    while any(c.lower().startswith(own) for c in df.columns):
+        own += "_"
+    return own
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: lineage ends here, and a lost executor takes nothing with it."""
     path = place(df.sparkSession, name)

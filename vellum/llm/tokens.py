@@ -1,12 +1,20 @@
 """Token counts and ids through distinct pre-tokens.
 
 A byte-level BPE cuts a text into pre-tokens first and merges within each alone,
-so a pre-token's pieces never depend on its neighbours.  Each task therefore
-cuts its texts into pre-tokens (vectorised over code points), finds the distinct
-ones by hash with every occurrence compared to its representative, has the
-tokenizers library encode each distinct one once, and joins the piece counts back
-to the documents' pre-token frequencies: a sum for counts, with no ids made, or a
-gather where ids are wanted.
+so a pre-token's pieces never depend on its neighbours.  Texts are cut vectorised
+over code points; distinct pre-tokens are found by hash with every occurrence
+compared to the first.
+
+Counts.  A first pass counts pre-tokens over all texts.  The most frequent (``FREQUENT``
+at most, of up to ``LONGEST`` characters: a bounded table) are encoded once and sent
+to every task.  A second pass joins them to the documents' pre-token frequencies where
+the texts are, and keeps what is left of each document's frequencies; these rows go
+to the task of their pre-token, which encodes each distinct one once, and the sums go
+back by row.  So every distinct pre-token is encoded once, a frequent one is never
+sent, and no ids are made.
+
+Ids, where they are wanted (`Encoder`), are gathered from the ids of distinct
+pre-tokens, which each task encodes once while its cache lasts.
 
 The cut is that of the byte-level pre-tokenizer with its own pattern (and no
 prefix space); ``supports`` says whether a tokenizer is of that kind, and others
@@ -14,8 +22,9 @@ prefix space); ``supports`` says whether a tokenizer is of that kind, and others
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a special
 string inside a text is one token, as by the library's default; equal rows give
-equal rows.  The cache of distinct pre-tokens is bounded by ``CACHE`` entries a
-task, and a text longer than a window is cut where a word begins.
+equal rows, whatever their ids; other columns pass through.  The cache of distinct
+pre-tokens is bounded by ``CACHE`` entries a task, and a text longer than a window is
+cut where a word begins.
 """
 
 from __future__ import annotations
@@ -28,16 +37,22 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textkit as K
+from .shared import prefix, written
 
 #: Distinct pre-tokens that a task keeps; beyond, it starts anew.
 CACHE = 1 << 17
 WINDOW = 1 << 19
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
+#: Pre-tokens that are sent to every task, and their length in characters.
+FREQUENT, LONGEST = 200_000, 64
+#: Occurrences in a task from which on a pre-token can be frequent.
+LEAST = 4
 
 
 @functools.cache
@@ -291,27 +306,154 @@ def _library(path: str):
     return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-def _count(batches, path: str, text: str, drop_text: bool, limit: int):
-    fast = supports(path)
-    for batch in K.each(batches):
-        column = pc.fill_null(batch.column(text).cast(pa.large_string()), "")
-        n_tokens = np.zeros(len(column), np.int64)
-        for a in range(0, len(column), 256):
-            texts = column[a : a + 256].to_pylist()
-            n_tokens[a : a + 256] = encoder(path).counts(texts) if fast else _library(path)(texts)
-        kept = [(c, batch.column(c)) for c in batch.schema.names if c not in _ADDED and not (drop_text and c == text)]
-        kept += [("n_bytes", pc.binary_length(column).cast(pa.int64())), ("n_tokens", pa.array(n_tokens)), ("over_limit", pa.array(n_tokens > limit))]
-        yield pa.RecordBatch.from_arrays([v for _, v in kept], names=[c for c, _ in kept])
-
+# --- counts -----------------------------------------------------------------------
 
 _ADDED = {"n_bytes": T.LongType(), "n_tokens": T.LongType(), "over_limit": T.BooleanType()}
 
 
+def distinct(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pre-tokens of (non-empty) texts; for every pre-token, which of them it is and whose."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
+    starts = cut(codes, begins)
+    size = np.diff(starts, append=len(codes))
+    _, first, which = np.unique(K.run_hashes(codes, starts, starts + size), return_index=True, return_inverse=True)
+    # Equal hashes must mean equal pre-tokens: every occurrence is compared with the first.
+    mine = first[which]
+    if not ((size[mine] == size).all() and (codes[np.arange(len(codes)) + np.repeat(starts[mine] - starts, size)] == codes).all()):
+        seen: dict[bytes, int] = {}
+        which = np.array([seen.setdefault(codes[a : a + n].tobytes(), len(seen)) for a, n in zip(starts, size, strict=True)])
+        first = np.unique(which, return_index=True)[1]
+    at, n = starts[first], size[first]
+    picked = codes[np.arange(n.sum()) + np.repeat(at - (np.cumsum(n) - n), n)]
+    n_bytes = np.concatenate(([0], np.cumsum(1 + (picked >= 0x80) + (picked >= 0x800) + (picked >= 0x10000).astype(np.int64))))
+    offsets = n_bytes[np.concatenate(([0], np.cumsum(n)))].astype(np.int32)
+    utf8 = picked.tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(utf8)), which, np.searchsorted(begins, starts, side="right") - 1
+
+
+def _plain(path: str, texts: list[str]):
+    """Windows of (rows, texts without special strings), and a last (rows, None) of the special strings."""
+    e, specials = encoder(path), []
+    for window in e._segments(texts):
+        specials += [r for r, t, _ in window if t is None]
+        plain = [(r, t) for r, t, _ in window if t is not None]
+        if plain:
+            yield np.array([r for r, _ in plain]), [t for _, t in plain]
+    yield np.array(specials, np.int64), None
+
+
+def _texts(batches, text: str):
+    for batch in K.each(batches, 1024):
+        yield batch, pc.fill_null(batch.column(text).cast(pa.large_string()), "")
+
+
+def _tally(batches, path: str, text: str):
+    """How often the task's texts have each pre-token, for those that they have LEAST times and more."""
+    found: dict[str, int] = {}
+
+    def out():
+        often = [(w, n) for w, n in found.items() if n >= LEAST and len(w) <= LONGEST]
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["w", "n"])
+
+    for _, column in _texts(batches, text):
+        for _, plain in _plain(path, column.to_pylist()):
+            if plain is not None:
+                words, which, _ = distinct(plain)
+                for w, n in zip(words.to_pylist(), np.bincount(which, minlength=len(words)).tolist(), strict=True):
+                    found[w] = found.get(w, 0) + n
+                if len(found) > CACHE:
+                    yield out()
+                    found.clear()
+    yield out()
+
+
+def _n_pieces(path: str, words: list[str]) -> list[int]:
+    tokenize, alphabet = encoder(path).tokenizer.model.tokenize, _alphabet()
+    return [len(tokenize(w.encode().decode("latin-1").translate(alphabet))) for w in words]
+
+
+def _encode(batches, path: str):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column("w"), pa.array(_n_pieces(path, batch.column("w").to_pylist()), pa.int32())], names=["w", "pieces"])
+
+
+def frequent(docs: DataFrame, path: str, text: str = "text") -> tuple[pa.Array, np.ndarray]:
+    """The corpus's most frequent pre-tokens, FREQUENT at most, each encoded once: words, numbers of pieces."""
+    tally = docs.select(F.col(text).alias("t")).mapInArrow(functools.partial(_tally, path=path, text="t"), "w string, n long")
+    tally = written(tally.groupBy("w").agg(F.sum("n").alias("n")), "tally")
+    steps = {r["step"]: r["n"] for r in tally.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(F.count("*").alias("n")).collect()}  # 8 for each doubling
+    least, room = max(steps, default=0) + 1, FREQUENT
+    for step in sorted(steps, reverse=True):
+        room -= steps[step]
+        if room < 0:
+            break
+        least = step
+    known = tally.where(F.floor(8 * F.log2("n")) >= least).select("w").mapInArrow(functools.partial(_encode, path=path), "w string, pieces int").toArrow()
+    return known["w"].combine_chunks(), np.asarray(known["pieces"], np.int64)
+
+
+def _sums(batches, path: str, text: str, names: list[str], between: list[str], words: pa.Array, pieces: np.ndarray):
+    """Rows with a number of their own: bytes, tokens of frequent pre-tokens, and the others with their frequencies."""
+    row = TaskContext.get().partitionId() << 40
+    for batch, column in _texts(batches, text):
+        known, rest = np.zeros(len(column), np.int64), []
+        for rows, plain in _plain(path, column.to_pylist()):
+            if plain is None:
+                np.add.at(known, rows, 1)
+                continue
+            own, which, whose = distinct(plain)
+            at = np.asarray(pc.fill_null(pc.index_in(own, value_set=words), -1))
+            told = at[which] >= 0
+            np.add.at(known, rows[whose[told]], pieces[at[which[told]]])
+            pairs, n = np.unique(rows[whose[~told]] * np.int64(len(own)) + which[~told], return_counts=True)
+            rest.append((pairs // len(own), own.take(pa.array(pairs % len(own))), n))
+        whose = np.concatenate([np.empty(0, np.int64), *(r[0] for r in rest)])
+        entries = pa.StructArray.from_arrays([pa.concat_arrays([pa.array([], pa.string()), *(r[1] for r in rest)]), pa.array(np.concatenate([np.empty(0, np.int64), *(r[2] for r in rest)]))], names=["w", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(whose, np.arange(len(column) + 1)).astype(np.int32)), entries)
+        added = [pa.array(np.arange(row, row + len(column))), pc.binary_length(column).cast(pa.int64()), pa.array(known), lists]
+        row += len(column)
+        kept = [batch.column(c) for c in batch.schema.names if c in names]
+        yield pa.RecordBatch.from_arrays([*kept, *added], names=[*(c for c in batch.schema.names if c in names), *between])
+
+
+def _pieces_of_others(batches, path: str):
+    """Rows sorted by pre-token: each distinct one is encoded once."""
+    last, pieces = None, 0
+    for batch in batches:
+        runs = batch.column("w").dictionary_encode()
+        words, at = runs.dictionary.to_pylist(), np.asarray(runs.indices)
+        n = np.array([pieces, *_n_pieces(path, words[1:])] if words and words[0] == last else _n_pieces(path, words), np.int64)
+        if words:
+            last, pieces = words[at[-1]], int(n[at[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n[at] * np.asarray(batch.column("n")))], names=["row", "tokens"])
+
+
+def _by_library(batches, path: str, text: str, names: list[str]):
+    for batch, column in _texts(batches, text):
+        n = np.concatenate([np.empty(0, np.int64), *(_library(path)(column[a : a + 256].to_pylist()) for a in range(0, len(column), 256))]).astype(np.int64)
+        kept = [batch.column(c) for c in batch.schema.names if c in names]
+        yield pa.RecordBatch.from_arrays([*kept, pc.binary_length(column).cast(pa.int64()), pa.array(n)], names=[*(c for c in batch.schema.names if c in names), "n_bytes", "n_tokens"])
+
+
 def count(docs: DataFrame, path: str, text: str = "text", limit: int = 1024, drop_text: bool = False) -> DataFrame:
-    """The input's columns with n_bytes, n_tokens and over_limit; no shuffle, no ids."""
+    """The input's columns with n_bytes, n_tokens and over_limit; no ids are made.  The kept columns are written once, so drop the text where it is not wanted."""
     kept = [f for f in docs.schema if f.name not in _ADDED and not (drop_text and f.name == text)]
-    schema = T.StructType([*kept, *(T.StructField(n, t) for n, t in _ADDED.items())])
-    return docs.mapInArrow(functools.partial(_count, path=path, text=text, drop_text=drop_text, limit=limit), schema)
+    names = [f.name for f in kept]
+    long = lambda n: T.StructField(n, T.LongType())
+    if not supports(path):
+        counted = docs.mapInArrow(functools.partial(_by_library, path=path, text=text, names=names), T.StructType([*kept, long("n_bytes"), long("n_tokens")]))
+        return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    words, pieces = frequent(docs, path, text)
+    row, size, known, others = between = [prefix(docs) + c for c in ("row", "bytes", "known", "others")]
+    rest = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), long("n")]))
+    make = functools.partial(_sums, path=path, text=text, names=names, between=between, words=words, pieces=pieces)
+    table = written(docs.mapInArrow(make, T.StructType([*kept, long(row), long(size), long(known), T.StructField(others, rest)])), "frequencies")
+    sent = table.select(F.col(row).alias("row"), F.explode(others).alias("e")).select("row", "e.w", "e.n").repartition("w").sortWithinPartitions("w")
+    tokens = sent.mapInArrow(functools.partial(_pieces_of_others, path=path), "row long, tokens long").groupBy(F.col("row").alias(row)).agg(F.sum("tokens").alias(others))
+    whole = table.drop(others).join(tokens, row, "left")
+    n = F.col(known) + F.coalesce(others, F.lit(0))
+    return whole.select(*(F.col(f"`{c}`") for c in names), F.col(size).alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
 def total(counted: DataFrame):
