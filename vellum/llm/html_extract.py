@@ -3,14 +3,16 @@
 A tolerant parser builds the tree of block elements (inline markup only adds to
 its block's text and link counts).  Trees score every block by its tag, depth,
 subtree and own text, link and tag density, attribute tokens, sibling statistics
-and what it lies in.  Decoding gives each block one of three states: container
-(undecided, its children may be anything), content (its children may be content
-or dropped) and dropped (so is all below it); the best assignment over the whole
-tree is found by dynamic programming, so no chosen block lies in a dropped one.
+and what it lies in.  Attribute tokens are hashed words of class, id, role and the
+like; what each says of its block is learned as smoothed log-odds.  Decoding gives
+each block one of three states: container (undecided, its children may be anything),
+content (its children may be content or dropped) and dropped (so is all below it);
+the best assignment over the whole tree is found by dynamic programming, so no chosen
+block lies in a dropped one.
 
-The trees are trained here, on pages written by ``html_pages`` with known main
-text: many layouts, with and without telling tags and class names.  No row of the
-input is used for training.
+Both are trained here, on pages written by ``html_pages`` with known main text: many
+kinds of site, with and without telling tags and class names; token odds on one half
+of the pages, trees on the other.  No row of the input is used for training.
 
 Defined results: a null or empty page, and a page with no content block, has the
 empty text; markup that never ends is text up to the end of the page or, for
@@ -22,6 +24,8 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -49,7 +53,7 @@ P_SCOPE = frozenset("td th table caption button html body".split())
 # Possessive, and no name or bare attribute runs over a "<": a page of unfinished tags is read in linear time.
 _TAG = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/<>]*+)([^<>\"']*+(?:\"[^\"]*+\"[^<>\"']*+|'[^']*+'[^<>\"']*+)*+)>|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>|<[!?/][^<>]*+>", re.S)
 _ATTR = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _STYLE_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|\shidden(?:[\s=>]|$)", re.I)
 
 
@@ -174,29 +178,29 @@ def parse(page: str) -> list[Block]:
 # --- features ---------------------------------------------------------------------
 
 TAGS = ("p", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "h1", "h2", "h3", "table", "td", "pre", "blockquote", "figure", "body", "#root")
-GOOD = frozenset("article articlebody content entry post story main maincontent body text blog page hentry prose reader markdown".split())
-BAD = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs header masthead topbar banner footer foot colophon copyright sidebar side rail aside widget related recommended popular trending ad ads advert advertisement adsense sponsor sponsored promo promoted outbrain taboola cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login register search form share sharing social follow comment comments reply replies disqus respond discussion feedback rating tags tagcloud pagination pager skip toolbar legal disclaimer".split()
-)
 WIDTH = len(TAGS) + 23
+#: Buckets of hashed attribute tokens.
+TOKENS = 1 << 12
 
 
 @functools.lru_cache(100_000)
-def _signs(attrs: str) -> tuple[int, int]:
-    """How many telling words the attributes hold: of content, of the rest."""
-    good = bad = 0
-    for m in _ATTR.finditer(attrs):
-        for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower()):
-            good += w in GOOD
-            bad += w in BAD
-    return good, bad
+def tokens_of(attrs: str) -> tuple[int, ...]:
+    """Buckets of the distinct words that an element's telling attributes hold."""
+    words = {w.lower() for m in _ATTR.finditer(attrs) for w in _WORD.findall(m[1] or m[2] or m[3] or "")}
+    return tuple(sorted({zlib.crc32(w.encode()) % TOKENS for w in words}))
+
+
+@dataclass
+class Model:
+    trees: boosting.Trees
+    odds: np.ndarray  # log-odds of a block being content, by token bucket
 
 
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _SELDOM = frozenset(("nav", "aside", "footer", "form", "menu", "dialog"))
 
 
-def features(blocks: list[Block]) -> np.ndarray:
+def features(blocks: list[Block], odds: np.ndarray) -> np.ndarray:
     n = len(blocks)
     total = [b.own for b in blocks]
     links = [b.links for b in blocks]
@@ -223,17 +227,19 @@ def features(blocks: list[Block]) -> np.ndarray:
             for c in kids:
                 alike[c] = same[blocks[c].tag]
     page = max(1, total[0])
-    above = [(0, 0, 0, 0)] * n  # good, bad, within article or main, within what is seldom content
+    above = [(0.0, 0.0, 0, 0)] * n  # worst and best token odds, within article or main, within what is seldom content
+    table = odds.tolist()
     rows = []
     for i, b in enumerate(blocks):
-        good, bad = _signs(b.attrs) if b.attrs else (0, 0)
+        own = [table[k] for k in tokens_of(b.attrs)] if b.attrs else []
+        worst, best = min(own, default=0.0), max(own, default=0.0)
         p = b.parent if i else 0
-        g0, b0, a0, s0 = above[p] if i else above[0]
+        w0, b0, a0, s0 = above[p] if i else above[0]
         tag = b.tag
-        above[i] = lies = (g0 + good, b0 + bad, a0 or tag == "article" or tag == "main", s0 or tag in _SELDOM)
+        above[i] = lies = (min(w0, worst), max(b0, best), a0 or tag == "article" or tag == "main", s0 or tag in _SELDOM)
         t, tp = total[i], total[p]
         rows.append(
-            (b.depth, t, b.own, links[i] / (t or 1), tags[i] / (t or 1), t / page, t / (tp or 1), len(blocks[p].kids) if i else 1, place[i], len(b.kids), paragraphs[i], good, bad, *lies, paragraphs[p] if i else 0, links[p] / (tp or 1) if i else 0, i / n, b.hidden, b.attrs != "", alike[i])
+            (b.depth, t, b.own, links[i] / (t or 1), tags[i] / (t or 1), t / page, t / (tp or 1), len(blocks[p].kids) if i else 1, place[i], len(b.kids), paragraphs[i], worst, best, *lies, paragraphs[p] if i else 0, links[p] / (tp or 1) if i else 0, i / n, b.hidden, b.attrs != "", alike[i])
         )
     k = len(TAGS)
     x = np.zeros((n, WIDTH))
@@ -248,34 +254,41 @@ def features(blocks: list[Block]) -> np.ndarray:
 # --- decoding ---------------------------------------------------------------------
 
 
-def decode(blocks: list[Block], logits: np.ndarray) -> list[bool]:
-    """Which blocks are content, by the best assignment of container, content and dropped along the tree."""
-    n = len(blocks)
-    cont, inside, out = [0.0] * n, [0.0] * n, [0.0] * n
-    clipped = np.clip(logits, -8.0, 8.0).tolist()
-    for i in range(n - 1, -1, -1):
-        b = blocks[i]
-        z = clipped[i]
-        if b.hidden:
-            z = -8.0
-        # A block speaks for its own text, and for its subtree by a block's worth.
+CONTAINER, CONTENT, DROPPED = 0, 1, 2
+
+
+def values(blocks: list[Block], logits: np.ndarray) -> list[tuple[float, float, float]]:
+    """What each state of each block is worth by itself: a block speaks for its own text, and for its subtree by a block's worth."""
+    out = []
+    for b, z in zip(blocks, np.clip(logits, -8.0, 8.0).tolist(), strict=True):
+        z = -8.0 if b.hidden else z
         v = z * (1 + b.own / 50.0)
-        inside[i] += v
-        out[i] -= v
-        cont[i] -= z * b.own / 50.0 + 0.5
-        if i:
-            p = b.parent
-            inside[p] += max(inside[i], out[i])
-            out[p] += out[i]
-            cont[p] += max(cont[i], inside[i], out[i])
-    state = [0] * n  # 0 container, 1 content, 2 dropped
+        out.append((-z * b.own / 50.0 - 0.5, v, -v))
+    return out
+
+
+def states(blocks: list[Block], logits: np.ndarray) -> list[int]:
+    """The best assignment of container, content and dropped along the tree: below containers anything, below content no container, below dropped only dropped."""
+    n = len(blocks)
+    cont, inside, out = (list(x) for x in zip(*values(blocks, logits), strict=True))
+    for i in range(n - 1, 0, -1):
+        p = blocks[i].parent
+        inside[p] += max(inside[i], out[i])
+        out[p] += out[i]
+        cont[p] += max(cont[i], inside[i], out[i])
+    state = [CONTAINER] * n
     for i in range(n):
-        above = state[blocks[i].parent] if i else 0
-        if above == 2:
-            state[i] = 2
-        elif above == 1 or cont[i] < max(inside[i], out[i]):
-            state[i] = 1 if inside[i] >= out[i] else 2
-    return [s == 1 for s in state]
+        above = state[blocks[i].parent] if i else CONTAINER
+        if above == DROPPED:
+            state[i] = DROPPED
+        elif above == CONTENT or cont[i] < max(inside[i], out[i]):
+            state[i] = CONTENT if inside[i] >= out[i] else DROPPED
+    return state
+
+
+def decode(blocks: list[Block], logits: np.ndarray) -> list[bool]:
+    """Which blocks are content."""
+    return [s == CONTENT for s in states(blocks, logits)]
 
 
 def render(blocks: list[Block], chosen: list[bool]) -> str:
@@ -310,34 +323,47 @@ def render(blocks: list[Block], chosen: list[bool]) -> str:
 
 
 @functools.cache
-def model(pages: int = 500, seed: int = 5) -> boosting.Trees:
+def model(pages: int = 1000, seed: int = 5) -> Model:
     """Trained on generated pages; the same for the same arguments."""
     from .html_pages import make
 
+    parsed = [parse(make(seed, i)[0]) for i in range(pages)]
+    marked = [(blocks, _truth(blocks)) for blocks in parsed]
+    odds = _learned(marked[: pages // 2])
     xs, ys = [], []
-    for html, _ in (make(seed, i) for i in range(pages)):
-        blocks = parse(html)
-        marks = _truth(blocks)
-        x = features(blocks)
+    for blocks, marks in marked[pages // 2 :]:
         keep = np.array([m is not None for m in marks])
-        xs.append(x[keep])
-        ys.append(np.array([m for m in marks if m is not None], float))
-    return boosting.fit(np.concatenate(xs), np.concatenate(ys))
-
-
-def _truth(blocks: list[Block]) -> list[bool | None]:
-    """Whether most of a block's text is main text, which the generator marks by a control character before each word; None without text."""
+        xs.append(features(blocks, odds)[keep])
+        ys.append(np.array([m > 0.9 for m in marks if m is not None], float))
+    return Model(boosting.fit(np.concatenate(xs), np.concatenate(ys)), odds)
+
+
+def _learned(marked: list[tuple[list[Block], list[float | None]]]) -> np.ndarray:
+    """Smoothed log-odds of each token bucket, of blocks that are nearly all main text or nearly all not."""
+    good, bad = np.zeros(TOKENS), np.zeros(TOKENS)
+    total = [1, 1]
+    for blocks, marks in marked:
+        for b, m in zip(blocks, marks, strict=True):
+            if m is not None and not 0.1 < m < 0.9:
+                total[m < 0.5] += 1
+                (good if m > 0.5 else bad)[list(tokens_of(b.attrs))] += 1
+    share = total[0] / sum(total)
+    return np.log((good + 3 * share) / (bad + 3 * (1 - share))) - np.log(share / (1 - share))
+
+
+def _truth(blocks: list[Block]) -> list[float | None]:
+    """The share of a block's words that are main text, which the generator marks by a control character before each word; None without text."""
     good = [sum(p.count("\x01") for p in b.pieces if isinstance(p, str)) for b in blocks]
     words = [sum(len(p.split()) for p in b.pieces if isinstance(p, str)) for b in blocks]
     for i in range(len(blocks) - 1, 0, -1):
         good[blocks[i].parent] += good[i]
         words[blocks[i].parent] += words[i]
-    return [None if not w else g > 0.9 * w for g, w in zip(good, words, strict=True)]
+    return [g / w if w else None for g, w in zip(good, words, strict=True)]
 
 
-def extract_batch(pages: list[str], trees: boosting.Trees) -> list[str]:
+def extract_batch(pages: list[str], trained: Model) -> list[str]:
     parsed = [parse(p) for p in pages]
-    z = trees.logits(np.concatenate([features(b) for b in parsed])) if parsed else np.empty(0)
+    z = trained.trees.logits(np.concatenate([features(b, trained.odds) for b in parsed])) if parsed else np.empty(0)
     out, at = [], 0
     for blocks in parsed:
         out.append(render(blocks, decode(blocks, z[at : at + len(blocks)])))
@@ -348,19 +374,19 @@ def extract_batch(pages: list[str], trees: boosting.Trees) -> list[str]:
 _ADDED = ("text", "n_chars")
 
 
-def _extract(batches, trees: boosting.Trees, html: str, drop_html: bool):
+def _extract(batches, trained: Model, html: str, drop_html: bool):
     for batch in batches:
         column = pc.fill_null(batch.column(html).cast(pa.large_string()), "")
         texts: list[str] = []
         for a in range(0, len(column), 64):
-            texts += extract_batch(column[a : a + 64].to_pylist(), trees)
+            texts += extract_batch(column[a : a + 64].to_pylist(), trained)
         kept = [(c, batch.column(c)) for c in batch.schema.names if c not in _ADDED and not (drop_html and c == html)]
         kept += [("text", pa.array(texts, pa.string())), ("n_chars", pa.array([len(t) for t in texts], pa.int64()))]
         yield pa.RecordBatch.from_arrays([v for _, v in kept], names=[c for c, _ in kept])
 
 
-def extract(pages: DataFrame, html: str = "html", drop_html: bool = False, trees: boosting.Trees | None = None) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", drop_html: bool = False, trained: Model | None = None) -> DataFrame:
     """The input's columns with text and n_chars (code points); no shuffle."""
     kept = [f for f in pages.schema if f.name not in _ADDED and not (drop_html and f.name == html)]
     schema = T.StructType([*kept, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return pages.mapInArrow(functools.partial(_extract, trees=trees or model(), html=html, drop_html=drop_html), schema)
+    return pages.mapInArrow(functools.partial(_extract, trained=trained or model(), html=html, drop_html=drop_html), schema)
