@@ -115,7 +115,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64, n at least."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        n = max(n, 2 * WINDOW)
+        n = 1 << max(16, (n - 1).bit_length())
         for name, base in (("up", _K), ("down", pow(_K, -1, 1 << 64))):
             out = np.full(n, base, np.uint64)
             out[0] = 1

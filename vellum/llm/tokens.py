@@ -47,7 +47,7 @@ from .shared import prefix, written
 
 #: Distinct pre-tokens that a task keeps; beyond, it starts anew.
 CACHE = 1 << 17
-WINDOW = 1 << 19
+WINDOW = 1 << 17
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 #: Pre-tokens that are sent to every task, and their length in characters.
 FREQUENT, LONGEST = 200_000, 64
