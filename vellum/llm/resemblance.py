@@ -10,14 +10,16 @@ The estimate only drops pairs that are more than `SLACK` (four standard errors)
 below; what stays is decided on the sets of shingles themselves.
 
 Search.  The first 48 minima make 12 keys of 4.  Two texts of similarity s share a
-key with probability 1 - (1 - s**4)**12: 0.998 at 0.8, 0.01 at 0.17.  All pairs of
-a key with up to `PAIRS_UP_TO` sketches are candidates.  The members of larger keys
-are compared with `HUBS` members a key (the first in as many hashed orders), which
-joins dense groups cheaply, and then by an exact prefix filter: in one order of all
-shingles, seldom ones first, two sets of similarity s have their first common
-shingle among the first (1 - s) of each, and it leaves room for the overlap they
-need.  Only pairs that are not connected already are looked at.  So a group that
-shares a template costs little unless its members do resemble each other.
+key with probability 1 - (1 - s**4)**12: 0.998 at 0.8, 0.01 at 0.17.  First every
+text meets the first members of `FIRST` of its keys, which joins groups of copies by
+a few rows a text.  After that only pairs of texts that are not connected yet are
+looked at: all pairs of a key with up to `PAIRS_UP_TO` sketches, and those of larger
+keys with `HUBS` members a key (the first in as many hashed orders).  What is left in
+larger keys goes through an exact prefix filter: in one order of all shingles, seldom
+ones first, two sets of similarity s have their first common shingle among the first
+(1 - s) of each, and it leaves room for the overlap they need; for whole components
+the same bounds hold with their smallest and largest sets.  So a group that shares a
+template costs little unless its members do resemble each other.
 
 Defined results: null and empty texts, and texts without a word, have no sketch and
 no link; a text of fewer words than a shingle is one shingle.
@@ -41,6 +43,7 @@ MINIMA = 256
 SLACK = 0.1
 BANDS, ROWS = 12, 4
 PAIRS_UP_TO = 24
+FIRST = 3
 HUBS = 4
 _SEED = 7
 _CHUNK = 512
@@ -179,19 +182,32 @@ def _counted(members: DataFrame) -> DataFrame:
     return members.join(sizes, "key")
 
 
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Each member with the first member of its key, for the FIRST most common of those."""
+    meets = members.join(members.groupBy("key").agg(F.min("rep").alias("h")), "key").where("h != rep").groupBy("rep", "h").agg(F.count("*").alias("n"))
+    best = meets.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "h"))), 1, FIRST).alias("hs"))  # BANDS entries at most
+    return best.select(F.explode("hs.h").alias("a"), F.col("rep").alias("b"))
+
+
 def _all_pairs(members: DataFrame) -> DataFrame:
-    small = members.where(F.col("n") <= PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("m"))  # PAIRS_UP_TO entries at most
-    each = F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")
+    """Pairs of small keys whose members are not connected."""
+    small = members.where(F.col("n") <= PAIRS_UP_TO).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rep", "comp"))).alias("m"))  # PAIRS_UP_TO entries at most
+    each = F.expr("flatten(transform(m, (x, i) -> transform(filter(slice(m, i + 2, size(m)), y -> y.comp != x.comp), y -> struct(x.rep AS a, y.rep AS b))))")
     return small.select(F.explode(each).alias("p")).select("p.a", "p.b")
 
 
 def _hub_pairs(members: DataFrame) -> DataFrame:
-    """The members of large keys with the hubs of their key."""
-    large = members.where(F.col("n") > PAIRS_UP_TO).select("key", "rep")
-    firsts = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in range(HUBS)]
-    hubs = large.groupBy("key").agg(*firsts)
-    to_hubs = large.join(hubs, "key").select(F.explode(F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS))))).alias("h"), "rep").where("h != rep")
-    return to_hubs.select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))
+    """The members of large keys with the hubs of their key that they are not connected to."""
+    large = members.where(F.col("n") > PAIRS_UP_TO).select("key", "rep", "comp")
+    firsts = [F.min_by(F.struct(F.col("rep").alias("h"), F.col("comp").alias("hc")), F.xxhash64("rep", F.lit(k))).alias(f"h{k}") for k in range(HUBS)]
+    hubs = large.groupBy("key").agg(*firsts).select("key", F.explode(F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS))))).alias("h")).select("key", "h.h", "h.hc")
+    return large.join(hubs, "key").where("hc != comp").select(F.least("h", "rep").alias("a"), F.greatest("h", "rep").alias("b"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of keys that more than one component has."""
+    keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+    return members.join(keys, "key")
 
 
 def _both(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
@@ -208,34 +224,58 @@ def _prefix_pairs(sets: DataFrame, similarity: float) -> DataFrame:
     make = functools.partial(_prefixes, counts=counts.astype(np.uint32), similarity=similarity)
     rows = sets.select("rep", "s", "comp").mapInArrow(make, "key long, pos long, n long, rep long, comp long")
     rows = written(rows, "prefixes")
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    rows = written(rows.join(mixed, "key"), "mixed")
+    rows = written(_mixed(rows), "mixed")
     # An overlap of o is needed: o >= share * (n of both).  The smaller set's first common shingle leaves room for twice its own share.
     share = similarity / (1 + similarity)
     short = rows.where(f"n - pos >= {2 * share} * n - 1e-6")
-    met = short.select("key", "comp").distinct().join(rows.select("key", F.col("comp").alias("comp_y")).distinct(), "key").where("comp != comp_y")
-    x = met.join(short.select("key", "comp", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px")), ["key", "comp"])
-    y = rows.select("key", F.col("comp").alias("comp_y"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
+
+    def ranges(of: DataFrame, end: str) -> DataFrame:
+        most = [F.min("n").alias(f"lo{end}"), F.max("n").alias(f"hi{end}"), F.max(F.col("n") - F.col("pos")).alias(f"room{end}")]
+        return of.groupBy("key", F.col("comp").alias(f"comp{end}")).agg(*most)
+
+    least = f"{share} * (lox + loy) - 1e-6"
+    met = ranges(short, "x").join(ranges(rows, "y"), "key").where(f"compx != compy AND lox <= hiy AND hix >= {similarity} * loy - 1e-6 AND roomx >= {least} AND roomy >= {least}")
+    x = short.select("key", F.col("comp").alias("compx"), F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
+    x = met.join(x, ["key", "compx"]).where(f"nx <= hiy AND nx >= {similarity} * loy - 1e-6 AND nx - px >= {share} * (nx + loy) - 1e-6")
+    y = rows.select("key", F.col("comp").alias("compy"), F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
     room = f"nx <= ny AND nx >= {similarity} * ny - 1e-6 AND least(nx - px, ny - py) >= {share} * (nx + ny) - 1e-6"
-    return x.join(y, ["key", "comp_y"]).where(room).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return x.select("key", "compy", "x", "nx", "px").join(y, ["key", "compy"]).where(room).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def links(distinct: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """Pairs (a, b) of representatives that connect those that resemble each other; distinct: rep, sketch, keys, each sketch once; texts: rep, text."""
+def _named(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members with the component that links found so far give them."""
     from .simhash import components
 
+    return members.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def links(distinct: DataFrame, texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """Pairs (a, b) of representatives that connect those that resemble each other; distinct: rep, sketch, keys, each sketch once; texts: rep, text."""
     alike = functools.partial(_alike, least=similarity - SLACK)
     equal = functools.partial(_equal, least=similarity)
-    first = written(_counted(distinct.select("rep", F.explode("keys").alias("key")).select("key", "rep")), "bands")
-    pairs = written(_all_pairs(first).unionAll(_hub_pairs(first)).distinct(), "pairs")
-    near = written(_both(pairs, distinct, "sketch").mapInArrow(alike, "a long, b long"), "near")
-    large = written(first.where(F.col("n") > PAIRS_UP_TO).select("rep").distinct(), "large")
-    needed = written(near.select(F.col("a").alias("rep")).union(near.select("b")).union(large).distinct(), "needed")
-    sets = written(texts.where("text IS NOT NULL").join(needed, "rep", "left_semi").select("rep", "text").mapInArrow(_sets, "rep long, s binary"), "sets")
-    found = written(_both(near, sets, "s").mapInArrow(equal, "a long, b long"), "found")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sketches may belong to sets that resemble each other."""
+        return written(_both(written(pairs, "pairs"), distinct, "sketch").mapInArrow(alike, "a long, b long"), "near")
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        return written(texts.where("text IS NOT NULL").join(reps, "rep", "left_semi").select("rep", "text").mapInArrow(_sets, "rep long, s binary"), "sets")
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+
+    members = written(_counted(distinct.select("rep", F.explode("keys").alias("key")).select("key", "rep")), "bands")
+    first = near(_first_pairs(members))
+    sets = sets_of(written(ends(first), "ends"))
+    found = written(_both(first, sets, "s").mapInArrow(equal, "a long, b long"), "found")
+    members = written(_mixed(_named(members, found)), "members")
+    second = near(_all_pairs(members).unionAll(_hub_pairs(members)).distinct())
+    large = written(members.where(F.col("n") > PAIRS_UP_TO).select("rep").distinct(), "large")
+    needed = written(ends(second).union(large).distinct().join(sets.select("rep"), "rep", "left_anti"), "needed")
+    sets = sets.unionAll(sets_of(needed))
+    found = written(found.unionAll(_both(second, sets, "s").mapInArrow(equal, "a long, b long")).distinct(), "found")
     if large.isEmpty():
         return found
-    named = large.join(components(found).withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    more = _prefix_pairs(sets.join(written(named, "named"), "rep"), similarity)
-    more = _both(written(more, "pairs"), distinct, "sketch").mapInArrow(alike, "a long, b long")
-    return found.unionAll(_both(written(more, "near"), sets, "s").mapInArrow(equal, "a long, b long")).distinct()
+    left = written(_mixed(_named(members.drop("comp").where(F.col("n") > PAIRS_UP_TO), found)).select("rep", "comp").distinct(), "left")
+    third = near(_prefix_pairs(sets.join(left, "rep"), similarity))
+    return found.unionAll(_both(third, sets, "s").mapInArrow(equal, "a long, b long")).distinct()
