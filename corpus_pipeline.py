@@ -41,7 +41,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens: one row for each piece of a document."""
-    return packing.pack(docs, tokenizer_path(), capacity=2048, end=0)
+    return packing.pack(docs, tokenizer_path(), capacity=2048, end=0, documents=1024, cost=2048 * 2048)
 
 
 STAGES = [

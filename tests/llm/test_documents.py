@@ -63,19 +63,78 @@ def test_language_hard_rows(spark, hard, languages):
     assert langid.predict(hard.limit(0), m).count() == 0
 
 
-def test_language_windows_agree():
-    """A text cut into windows scores as one that is not."""
-    m = langid.Model(["a", "b"], np.random.default_rng(0).normal(size=(langid.BUCKETS + 1, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
+def _plain_language(text, m):
+    """Index of the language and score by the definition: every gram of every word, one by one."""
+    low = (text or "").lower().encode()
+    buf = b" " + bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in low) + b" "
+    total, n = np.zeros(len(m.languages)), 0
+    for size in langid.SIZES:
+        for i in range(len(buf) - size + 1):
+            g = buf[i : i + size]
+            if all(c > 32 for c in g[1:-1]) and (g[0] > 32 or g[-1] > 32):
+                h = g[0]
+                for c in g[1:]:
+                    h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                total += m.logits[((h * 0x9E3779B1) & 0xFFFFFFFF) >> 16].astype(float)
+                n += 1
+    if not any(map(str.isalpha, text or "")):
+        return -1, 0.0
+    z = (total / n + m.bias) / m.temperature
+    p = np.exp(z - z.max())
+    return int(p.argmax()), float((p / p.sum()).max())
+
+
+def _some_model():
+    r = np.random.default_rng(0)
+    m = langid.Model(["a", "b", "c"], r.normal(scale=30, size=(langid.BUCKETS + 1, 3)).astype(np.float32), r.normal(size=3), 0.7, 0.4)
     m.logits[-1] = 0
-    text = pa.array([LONG[:300_000]])
-    whole, _ = langid._logit_sums(langid.K.lowered(text), m)
-    from unittest import mock
+    return m
+
+
+def test_language_against_brute_force():
+    m, r = _some_model(), random.Random(21)
+    texts = [*HARD[:8], *HARD[9:10], *("".join(r.choices("ab çéß.,! 1漢\n", k=r.randint(0, 60))) for _ in range(200))]
+    best, score, rejected = langid.score_batch(pa.array(texts), m)
+    for k, t in enumerate(texts):
+        want, s = _plain_language(t, m)
+        assert best[k] == want and score[k] == pytest.approx(s, rel=1e-4) and rejected[k] == (want < 0 or s < 0.4), t
 
-    with mock.patch.object(langid.K, "WINDOW", 1000):
-        buf = LONG[:300_000].encode()
-        parts = [p for _, ps in langid.K.windows(langid.K.lowered(text), 1000) for p in ps]
-        assert b"".join(parts) == buf
-    assert whole.shape == (1, 2)
+
+def test_language_windows_agree(monkeypatch):
+    """A text cut into windows scores as one that is not."""
+    m, r = _some_model(), random.Random(22)
+    texts = pa.array([" ".join("".join(r.choices("abcdeé", k=r.randint(1, 9))) for _ in range(n)) for n in (3000, 5, 900)])
+    whole = langid.score_batch(texts, m)
+    windows = langid.K.windows
+    monkeypatch.setattr(langid.K, "windows", lambda array, limit=0: windows(array, 500))
+    parts = langid.score_batch(texts, m)
+    assert len(list(langid.K.windows(langid.K.lowered(texts)))) > 30
+    assert (whole[0] == parts[0]).all() and np.allclose(whole[1], parts[1])
+
+
+def test_sampled_counts_are_those_of_the_text(monkeypatch):
+    r = random.Random(23)
+    texts = ["", *(" ".join("".join(r.choices("abcé", k=r.randint(1, 6))) for _ in range(n)) for n in (400, 1, 60)), "..", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(["x"] * len(texts))], names=["t", "l"])
+    (one,) = langid._counts_of([batch], "t", "l")
+    windows = langid.K.windows
+    monkeypatch.setattr(langid.K, "windows", lambda array, limit=0: windows(array, 100))
+    (cut,) = langid._counts_of([batch], "t", "l")
+    for k, t in enumerate(texts):
+        buf, _ = langid.K.joined([(t or "").encode()], langid._TABLE, b" ")
+        every = collections.Counter(int(b) for g in langid.gram_buckets(buf) for b in g if b != langid.BUCKETS)
+        for got in (one, cut):
+            buckets, weights = np.frombuffer(got.column(1)[k].as_py(), "<u4"), np.frombuffer(got.column(2)[k].as_py(), "<f4")
+            assert buckets.tolist() == sorted(every) and np.allclose(weights, [every[b] / sum(every.values()) for b in sorted(every)])
+
+
+def test_known_rows_keep_their_columns(spark, hard, languages):
+    m = langid.train(languages)
+    docs = languages.limit(30).unionByName(hard, allowMissingColumns=True).withColumn("lang_pred", F.lit("mine")).withColumn("score", F.lit("mine")).withColumn("rejected", F.lit("mine"))
+    kept = langid.known(docs, m)
+    rows = kept.collect()
+    assert kept.schema == docs.schema and len(rows) >= 30 and {(r.lang_pred, r.score, r.rejected) for r in rows} == {("mine",) * 3}
+    assert len(rows) == langid.predict(docs, m).where("NOT rejected").count() and langid.known(docs.limit(0), m).count() == 0
 
 
 # --- SimHash --------------------------------------------------------------------
@@ -198,7 +257,7 @@ def test_edited_copies_against_brute_force(spark, monkeypatch, few):
         groups[found[i]].add(i)
         for j in range(i):
             s = _resemblance(t, texts[j])
-            if s >= 0.9:
+            if s >= 0.8:
                 assert found[i] == found[j], s
     for group in groups.values():
         first = min(group)
@@ -290,6 +349,70 @@ def test_copies_and_edits_are_found(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0 and decontam.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def _plain_contaminated(docs, items, threshold):
+    """Every pair that shares a gram of three words (or a first word, for shorter items), aligned whole against whole."""
+    words = lambda t: re.findall(r"[a-z0-9]+", (t or "").lower())
+    d, b = {i: words(t) for i, t in docs}, {i: words(t) for i, t in items}
+    seen = collections.Counter(w for v in d.values() for w in set(v))
+    out = {}
+    for k, item in b.items():
+        weight = np.array([np.log((len(d) + 1) / (seen[w] + 1)) + 0.1 for w in item])
+        grams = {tuple(item[i : i + 3]) for i in range(len(item) - 2)}
+        code = {w: n for n, w in enumerate(dict.fromkeys(item))}
+        for i, text in d.items():
+            if grams & {tuple(text[j : j + 3]) for j in range(len(text) - 2)}:
+                score = _plain_alignment([code[w] for w in item], [code.get(w, -1) for w in text], weight, 0.5 * weight.sum() / len(item)) / weight.sum()
+                if score >= threshold:
+                    out[i, k] = score
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    r = random.Random(26)
+    vocabulary = ["".join(r.choices("bcdfgaeiou", k=r.randint(2, 6))) for _ in range(150)]
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.randint(8, 30)))) for k in range(8)]
+    docs = []
+    for i in range(60):
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 120))]
+        if i % 2:  # a copy, edited by words replaced, dropped and put in
+            copy = items[r.randrange(8)][1].split()
+            for _ in range(r.randint(0, len(copy) // 2)):
+                at = r.randrange(len(copy))
+                copy[at : at + 1] = r.choice(([], [r.choice(vocabulary)], [copy[at], r.choice(vocabulary)]))
+            at = r.randint(0, len(words))
+            words[at:at] = copy
+        docs.append((i, " ".join(words)))
+    want = _plain_contaminated(docs, items, 0.5)
+    got = {(x.doc_id, x.item_id): x.score for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 20 and got == pytest.approx(want)
+
+
+def test_copies_across_window_cuts(monkeypatch):
+    """An item as long as several windows is found whole wherever the cuts fall."""
+    r = random.Random(27)
+    item = [f"w{r.randrange(10**6)}" for _ in range(1500)]
+    block = decontam.Block.of([7], [" ".join(item)])
+    ix = decontam.index(block, {}, 10)
+    windows = decontam.K.windows
+    monkeypatch.setattr(decontam.K, "windows", lambda array, limit=0: windows(array, 4096))
+    for lead in (0, 1, 300, 511, 700):
+        changed = [w if k % 3 else f"x{k}" for k, w in enumerate(item)]
+        texts = [" ".join(["lorem"] * lead + body + ["ipsum"] * 900) for body in (item, changed)]
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(texts)], names=["doc_id", "t"])
+        (got,) = decontam._match([batch], ix, 0.3)
+        scores = dict(zip(got.column(0).to_pylist(), got.column(2).to_pylist(), strict=True))
+        assert scores[0] == pytest.approx(1.0) and got.column(4).to_pylist()[0] == lead and got.column(5).to_pylist()[0] == lead + 1500
+        whole = decontam.smith_waterman(block.words[0], decontam._hashes([texts[1].encode()])[0], ix.weights[0], 0.5 * ix.weights[0].sum() / 1500)[0] / ix.weights[0].sum()
+        assert scores.get(1, 0) == pytest.approx(whole) if whole >= 0.3 else 1 not in scores
+
+
+def test_repeated_documents_and_items(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "g h i j")], "doc_id long, text string").withColumn("t", F.lit("clash"))
+    bench = spark.createDataFrame([(5, "a b c d e f"), (5, "a b c d e f"), (None, "g h i j")], "item_id long, text string")
+    got = sorted(((x.doc_id or -1, x.item_id) for x in decontam.contaminated(docs, bench).collect()))
+    assert got == [(-1, 5)] * 2 + [(1, 5)] * 4
+
+
 def test_edited_copies_of_a_hot_item_are_found(spark):
     r = random.Random(16)
     item = [f"w{r.randrange(10**6)}" for _ in range(40)]
@@ -330,6 +453,34 @@ def test_toxicity_finds_documents_and_sentences(spark, hard):
     assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))).collect()} == {0}
 
 
+def _plain_toxicity(text, m):
+    """The noisy-or by the definition, word by word."""
+    low = (text or "").lower().encode()
+    left = 1.0
+    for sentence in re.split(rb"[.!?\n]", low):
+        words = bytes(c if 97 <= c < 123 or c >= 128 else 32 for c in sentence).split()
+        buckets = set()
+        for w in words:
+            codes = np.frombuffer(w, np.uint8)
+            for n, size in ((0, len(w)), (4, 4), (5, 5)):
+                if n == 0 or len(w) > n:
+                    h = int(toxicity.K.run_hashes(codes, np.array([0]), np.array([size]))[0])
+                    buckets.add(((h + n) & 0xFFFFFFFFFFFFFFFF) >> 46)
+        told = [b for b in buckets if m.weights[b]]
+        if told:
+            left *= 1 - 1 / (1 + np.exp(-(sum(float(m.weights[b]) for b in told) + m.bias)))
+    return 1 - left
+
+
+def test_toxicity_against_brute_force():
+    r = np.random.default_rng(24)
+    m = toxicity.Model(np.where(r.random(toxicity.BUCKETS) < 0.3, r.normal(scale=1.5, size=toxicity.BUCKETS), 0).astype(np.float32), -2.0)
+    p = random.Random(25)
+    texts = [*HARD[:8], *(" ".join(p.choice(("vile", "vileness", "cloud", "été", "clouded.", "a!", "\n", "?", "42")) for _ in range(p.randint(0, 25))) for _ in range(200))]
+    got = toxicity.score_batch(pa.array(texts), m)
+    assert got == pytest.approx([_plain_toxicity(t, m) for t in texts], rel=1e-5, abs=1e-9) and len({round(x, 3) for x in got}) > 50
+
+
 # --- personal data --------------------------------------------------------------
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -366,6 +517,10 @@ def test_redaction(spark, hard):
     docs = table(spark, ["mail a.b@c.de or 10.0.0.1, +49 30 1234567", None, "", "card 4111 1111 1111 1111!", "nothing"])
     assert [r.text for r in pii.redact(docs).orderBy("doc_id").collect()] == ["mail [EMAIL] or [IP], [PHONE]", None, "", "card [CARD]!", "nothing"]
     assert pii.redact(docs).columns == docs.columns and pii.find(hard.limit(0)).count() == 0 and pii.find(hard).count() == len(HARD)
+    clash = docs.select("doc_id", "text", *[F.lit("mine").alias(c) for c in ("__t", "__m_email", "__g_card", "___all", "kind")])
+    for out in (pii.redact(clash), pii.find(clash)):
+        rows = out.collect()
+        assert len(rows) == 5 and all(r[c] == "mine" for r in rows for c in ("__t", "__m_email", "__g_card", "___all", "kind"))
 
 
 def test_pii_stays_in_the_engine(spark, hard):
@@ -419,6 +574,23 @@ def test_count_hard_rows(spark, hard, encoder):
         n = len(encoder.tokenizer.encode(t or "", add_special_tokens=False).ids)
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 1024)
     assert tokens.count(hard.limit(0), tokenizer_path()).count() == 0
+    clash = tokens.count(hard.select("doc_id", "text", F.lit("mine").alias("__row"), F.lit("mine").alias("n_tokens"), F.lit("mine").alias("w")), tokenizer_path())
+    assert clash.columns == ["doc_id", "text", "__row", "w", "n_bytes", "n_tokens", "over_limit"] and {(r["__row"], r.w, r.n_tokens) for r in clash.collect()} == {("mine", "mine", got[r].n_tokens) for r in got}
+    twice = tokens.count(hard.unionAll(hard), tokenizer_path(), drop_text=True)  # repeated ids
+    assert twice.count() == 2 * len(HARD) and sum(r.n_tokens for r in twice.collect()) == 2 * sum(r.n_tokens for r in got.values())
+
+
+def test_counts_of_frequent_and_other_pretokens(spark, encoder, monkeypatch):
+    """Pre-tokens that are sent to every task and those that are not give the library's counts."""
+    monkeypatch.setattr(tokens, "FREQUENT", 20)
+    r = random.Random(28)
+    vocabulary = ["".join(r.choices("abcdefgé ", k=r.randint(1, 9))) for _ in range(300)]
+    texts = [" ".join(vocabulary[int(300 * r.random() ** 3)] for _ in range(r.randint(0, 80))) for _ in range(300)] + ["x <|endoftext|> y", "😀" * 100]
+    docs = table(spark, texts).repartition(3)
+    words, pieces = tokens.frequent(docs, tokenizer_path())
+    assert 5 < len(words) <= 20 and pieces.tolist() == [len(encoder.tokenizer.encode(w).ids) for w in words.to_pylist()]
+    got = {x.doc_id: x.n_tokens for x in tokens.count(docs, tokenizer_path(), drop_text=True).collect()}
+    assert got == {i: len(e.ids) for i, e in enumerate(encoder.tokenizer.encode_batch(texts, add_special_tokens=False))}
 
 
 def test_other_tokenizers_by_their_library(spark, hard):
@@ -466,3 +638,18 @@ def test_packing_round_trip(spark, hard, encoder):
         b.sort()
         assert [o for o, _ in b] == [sum(n for _, n in b[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 128
     assert packing.pack(hard.limit(0), tokenizer_path()).count() == 0
+
+
+@pytest.mark.parametrize("limits", [{"documents": 3}, {"cost": 40 * 40}, {"documents": 5, "cost": 60 * 60, "rule": "dot"}])
+def test_every_capacity_binds_in_pack(spark, limits):
+    r = random.Random(29)
+    docs = table(spark, [" ".join(["tree"] * r.randint(0, 36)) for _ in range(200)])
+    free = {x.sequence_id for x in packing.pack(docs, tokenizer_path(), capacity=128).collect()}
+    sequences = collections.defaultdict(list)
+    for x in packing.pack(docs, tokenizer_path(), capacity=128, **limits).collect():
+        sequences[x.sequence_id].append(x.length)
+    assert sum(map(len, sequences.values())) == 200 and len(sequences) > len(free)
+    most, cost = limits.get("documents", 200), limits.get("cost", 128 * 128)
+    assert max(map(len, sequences.values())) <= most and max(sum(n * n for n in b) for b in sequences.values()) <= cost
+    full = sum(len(b) == most or sum(n * n for n in b) + min(b) ** 2 > cost for b in sequences.values())
+    assert full > len(sequences) / 3  # the limit, not the tokens, ends many sequences

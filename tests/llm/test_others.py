@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,6 +87,30 @@ def test_archives_follow_from_pages_alone(spark):
     assert all(a[1] < b[0] for a, b in zip(ids, ids[1:], strict=False))  # ranges in order
 
 
+def test_revisits_can_be_resolved_by_any_reader(spark):
+    """Plain reading, file by file: a warcinfo first, and every revisit names a response's target, date and page."""
+    rows = [(5, "http://a.example/5", "same"), (6, "http://a.example/6", "same"), (6, "http://a.example/6b", "other"), (6, "http://a.example/6", "same"), (7, None, "same"), (8, " ", "own"), (5, "http://a.example/5b", "same")]
+    root = shared.place(spark, "warc")
+    manifest = warc.write(spark.createDataFrame(rows * 1, "page_id long, url string, html string"), root, roll=400)
+    responses, revisits, infos = {}, [], 0
+    for m in manifest.collect():
+        with open(root.removeprefix("file://") + "/" + m.name, "rb") as f:
+            kinds = []
+            for member in warc.members(f):
+                h = warc.parse(member)["headers"]
+                kinds.append(h["WARC-Type"])
+                if kinds[-1] == "response":
+                    responses[h["WARC-Target-URI"], h["WARC-Date"], h["WARC-Payload-Digest"]] = h
+                elif kinds[-1] == "revisit":
+                    revisits.append(h)
+            infos += kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1
+    assert infos == manifest.count() > 1 and len(revisits) == 3
+    for h in revisits:
+        assert responses[h["WARC-Refers-To-Target-URI"], h["WARC-Refers-To-Date"], h["WARC-Payload-Digest"]]["WARC-Page-ID"] == h["WARC-Refers-To-Page"] == "5"
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read(spark, root).collect())
+    assert got == {(5, "response", None): 2, (6, "revisit", 5): 2, (6, "response", None): 1, (7, "revisit", 5): 1, (8, "response", None): 1}
+
+
 def test_damage_is_noticed(spark):
     _, df = _pages(spark, 5)
     root = shared.place(spark, "warc")
@@ -110,16 +136,101 @@ def test_empty_archive(spark):
     assert warc.read(spark, root, warc.write(df.limit(0), root)).count() == 0
 
 
-def test_extraction_of_unseen_layouts():
-    trees = html_extract.model()
+def test_extraction_of_generated_layouts():
+    """Pages of the trainer's own writer that it has not seen."""
+    trained = html_extract.model()
     exact = words = hit = told = 0
     for i in range(120):
         html, want = html_pages.make(77, i)
-        (got,) = html_extract.extract_batch([html.replace(html_pages.MARK, "")], trees)
-        exact += got == want
-        a, b = set(want.split()), set(got.split())
-        words, hit, told = words + len(a), hit + len(a & b), told + len(b)
-    assert exact / 120 > 0.85 and hit / words > 0.93 and hit / told > 0.97
+        (got,) = html_extract.extract_batch([html.replace(html_pages.MARK, "")], trained)
+        exact += got.split() == want.split()
+        a, b = Counter(want.split()), Counter(got.split())
+        words, hit, told = words + a.total(), hit + (a & b).total(), told + b.total()
+    assert exact / 120 > 0.8 and hit / words > 0.97 and hit / told > 0.97
+
+
+#: Pages written by hand, by no generator, with their main text.
+WRITTEN = [
+    (
+        """<!DOCTYPE html>
+<html lang="en"><head><title>River levels rise - The Valley Herald</title><link rel="stylesheet" href="/s.css"></head>
+<body class="home single">
+<a class="skip-link" href="#content">Skip to content</a>
+<header class="masthead"><div class="logo"><a href="/">The Valley Herald</a></div>
+<nav class="topnav"><ul><li><a href="/local">Local</a></li><li><a href="/sport">Sport</a></li><li><a href="/weather">Weather</a></li></ul></nav></header>
+<main id="content"><article class="story">
+<h1>River levels rise after a week of rain</h1>
+<p>The river rose by almost a metre on Tuesday, the council said, and two footbridges in the lower town were closed to walkers until the weekend.</p>
+<p>Farmers along the east bank moved cattle to higher ground. &ldquo;We have seen worse,&rdquo; said one of them, who has kept a diary of the water since 1981.</p>
+<h2>More rain on the way</h2>
+<p>Forecasters expect another wet spell from Friday. The pumps at the old mill have been <a href="/pumps">serviced</a> and are ready.</p>
+</article>
+<aside class="related-stories"><h3>Related</h3><ul><li><a href="/a">Mill pumps pass inspection</a></li><li><a href="/b">Bridge repairs delayed again</a></li></ul></aside></main>
+<footer class="site-footer"><p>Copyright 2021 Valley Media. All rights reserved.</p><ul><li><a href="/about">About</a></li><li><a href="/privacy">Privacy</a></li></ul></footer>
+</body></html>""",
+        "River levels rise after a week of rain\nThe river rose by almost a metre on Tuesday, the council said, and two footbridges in the lower town were closed to walkers until the weekend.\nFarmers along the east bank moved cattle to higher ground. “We have seen worse,” said one of them, who has kept a diary of the water since 1981.\nMore rain on the way\nForecasters expect another wet spell from Friday. The pumps at the old mill have been serviced and are ready.",
+    ),
+    (
+        """<html><body><div id="wrap"><div id="menu"><a href="/">home</a> | <a href="/archive">archive</a> | <a href="/contact">contact</a></div>
+<div class="post"><h2 class="title">Fixing the garden gate</h2>
+<p>The hinge had rusted through, so I took the gate down and cleaned the post with a wire brush before fitting a new one.
+<p>It took most of the afternoon, largely because the old screws would not move at all.
+<p>Two coats of paint later it looks as good as new.
+</div><div class="comments" id="comments"><h3>2 comments</h3><div class="comment"><b>Ann</b> says: <p>Lovely work, mine needs doing too.</p></div><div class="comment"><b>Jo</b> says: <p>Which paint did you use?</p></div></div>
+<div id="sidebar"><h4>Recent posts</h4><ul><li><a href="/1">Pruning roses</a><li><a href="/2">A shed of one's own</a></ul></div>
+<div id="footer">Powered by patience. <a href="/feed">Feed</a></div></div></body></html>""",
+        "Fixing the garden gate\nThe hinge had rusted through, so I took the gate down and cleaned the post with a wire brush before fitting a new one.\nIt took most of the afternoon, largely because the old screws would not move at all.\nTwo coats of paint later it looks as good as new.",
+    ),
+    (
+        """<!doctype html><html><head><title>sort</title><script>if (a < b && c > d) { document.write("<p>no</p>"); }</script></head><body>
+<nav class="sidebar-nav"><ul><li><a href="/intro">Introduction</a></li><li><a href="/list">list</a></li><li><a href="/sort">sort</a></li><li><a href="/trim">trim</a></li></ul></nav>
+<div role="main" class="document"><h1>sort</h1><p>Writes the lines of its input in order. Lines that compare equal keep the order in which they were read.</p>
+<pre>sort [-r] [-n] [file ...]</pre><h2>Options</h2><dl><dt>-r</dt><dd>Reverses the order of the result.</dd><dt>-n</dt><dd>Compares by numeric value, not by characters.</dd></dl>
+<p>Without a file the standard input is read to its end before anything is written.</p></div>
+<footer>Manual, edition 4</footer></body></html>""",
+        "sort\nWrites the lines of its input in order. Lines that compare equal keep the order in which they were read.\nsort [-r] [-n] [file ...]\nOptions\n-r\nReverses the order of the result.\n-n\nCompares by numeric value, not by characters.\nWithout a file the standard input is read to its end before anything is written.",
+    ),
+    (
+        """<HTML><BODY BGCOLOR=white><TABLE WIDTH=100%><TR><TD COLSPAN=2><A HREF="index.html"><B>Museum of Clocks</B></A></TD></TR>
+<TR><TD WIDTH=150><A HREF="visit.html">Visit us</A><BR><A HREF="hours.html">Opening hours</A><BR><A HREF="shop.html">Shop</A><BR><A HREF="map.html">Map</A></TD>
+<TD><H1>The tower clock of 1720</H1><P>This clock was made for the town hall and ran there for almost two hundred years, wound by hand every morning.
+<P>Its pendulum is four metres long and swings once in two seconds, which visitors can watch from the gallery on the first floor.
+<P>The wheels were cut by a single maker, whose name is scratched on the back of the largest of them.</TD></TR>
+<TR><TD COLSPAN=2><FONT SIZE=1>Last changed in May. <A HREF="mailto:x@example.org">Write to the webmaster</A></FONT></TD></TR></TABLE></BODY></HTML>""",
+        "The tower clock of 1720\nThis clock was made for the town hall and ran there for almost two hundred years, wound by hand every morning.\nIts pendulum is four metres long and swings once in two seconds, which visitors can watch from the gallery on the first floor.\nThe wheels were cut by a single maker, whose name is scratched on the back of the largest of them.",
+    ),
+    (
+        """<html><head><meta charset=utf-8></head><body><div class="cookie-banner"><p>We use cookies to improve your visit.</p><button>Accept</button></div>
+<section class="content"><h1>Bread with seeds</h1><p>Mix the flour, the water and the salt and let the dough rest for an hour under a cloth.</p>
+<ul><li>500 g of strong flour</li><li>350 g of water</li><li>a spoon of salt and two of seeds</li></ul>
+<div class="ad-container"><p>Try our new knives, now half price!</p></div>
+<p>Bake it in a hot oven until the crust is dark and the loaf sounds hollow when you knock on it.</p></section>
+<form class="newsletter"><p>Get a recipe every week</p><input name=e><button>Sign up</button></form>
+<div class="footer"><a href="/imprint">Imprint</a></div></body></html>""",
+        "Bread with seeds\nMix the flour, the water and the salt and let the dough rest for an hour under a cloth.\n500 g of strong flour\n350 g of water\na spoon of salt and two of seeds\nBake it in a hot oven until the crust is dark and the loaf sounds hollow when you knock on it.",
+    ),
+    (
+        "<p>A page of one paragraph, with no markup to speak of, that someone saved from a letter long ago.</p>",
+        "A page of one paragraph, with no markup to speak of, that someone saved from a letter long ago.",
+    ),
+]
+
+
+def test_extraction_of_pages_written_by_hand():
+    got = html_extract.extract_batch([html for html, _ in WRITTEN], html_extract.model())
+    words = hit = told = 0
+    for text, (_, want) in zip(got, WRITTEN, strict=True):
+        a, b = Counter(want.split()), Counter(text.split())
+        words, hit, told = words + a.total(), hit + (a & b).total(), told + b.total()
+    assert sum(x == y for x, (_, y) in zip(got, WRITTEN, strict=True)) >= 4
+    assert hit / words > 0.95 and hit / told > 0.95
+
+
+def test_inline_markup_hides_no_text():
+    """Only what is no text of a page is left out: what stands in an article's other inline elements stays."""
+    page = "<article><p>One <abbr>two</abbr> <mark>three</mark> <q>four</q> <kbd>five</kbd> <font>six</font> <ins>seven</ins> <cite>eight</cite> and many more words to read here, as in any article.</p></article>"
+    (got,) = html_extract.extract_batch([page], html_extract.model())
+    assert got == "One two three four five six seven eight and many more words to read here, as in any article."
 
 
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!--", "<script>", "</p></div>x", "<div>" * 5000 + "x", '<a href="x>y</a> z', "<td><li><p></ul>", "<a" * 5000, "&#x110000; &bogus;"])
@@ -135,22 +246,23 @@ def test_text_of_a_page(spark):
     assert got[2].text == "" and got[1].n_chars == len(got[1].text) and html_extract.extract(df.limit(0)).count() == 0
 
 
-def test_decoding_never_chooses_below_a_dropped_block():
+def test_decoding_against_every_assignment():
     r = np.random.default_rng(3)
-    for i in range(60):
-        blocks = html_extract.parse(html_pages.make(5, i)[0])
-        z = r.normal(scale=4, size=len(blocks))
-        chosen = html_extract.decode(blocks, z)
-        assert len(chosen) == len(blocks)
-        for k, b in enumerate(blocks[1:], 1):
-            if chosen[k] and not chosen[b.parent] and b.parent:
-                assert not any(chosen[a] for a in _ancestors(blocks, b.parent))  # content starts below containers only
-
-
-def _ancestors(blocks, k):
-    while k > 0:
-        k = blocks[k].parent
-        yield k
+    allowed = {html_extract.CONTAINER: (0, 1, 2), html_extract.CONTENT: (1, 2), html_extract.DROPPED: (2,)}
+    for _ in range(80):
+        blocks = [html_extract.Block("div", "", -1, 0)]
+        for i in range(1, r.integers(1, 8)):
+            parent = int(r.integers(0, i))
+            blocks.append(html_extract.Block("p", "", parent, 1))
+            blocks[parent].kids.append(i)
+        for b in blocks:
+            b.own, b.hidden = int(r.integers(0, 200)), bool(r.random() < 0.1)
+        z = r.normal(scale=3, size=len(blocks))
+        own = html_extract.values(blocks, z)
+        best = max(sum(own[i][s] for i, s in enumerate(states)) for states in itertools.product(range(3), repeat=len(blocks)) if all(states[i] in allowed[states[b.parent]] for i, b in enumerate(blocks) if i))
+        got = html_extract.states(blocks, z)
+        assert all(got[i] in allowed[got[b.parent]] for i, b in enumerate(blocks) if i)
+        assert sum(own[i][s] for i, s in enumerate(got)) == pytest.approx(best)
 
 
 def test_pipeline_stages(spark, tmp_path):
@@ -176,6 +288,39 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed} == set(left)
 
 
+CLASHES = ("score", "rejected", "lang_pred", "__t", "__m_email", "__leak", "__gone", "fp", "keys", "sketch", "item_id", "rep")
+
+
+def test_pipeline_keeps_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    speak = lambda k, n: " ".join("".join(r.choices({"aa": ["th", "ing", "on"], "bb": ["sch", "ung", "ü"]}[k], k=r.randint(2, 5))) for _ in range(n))
+    rows = [(i, speak(("aa", "bb")[i % 2], 40), ("aa", "bb")[i % 2], *(["mine"] * len(CLASHES))) for i in range(60)]
+    rows += [(None, speak("aa", 40), "aa", *(["mine"] * len(CLASHES))), (70, rows[0][1], "aa", *(["mine"] * len(CLASHES)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{c} string" for c in CLASHES))
+    spark.createDataFrame([(0, rows[4][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == ["doc_id", "text", "lang", *CLASHES]
+    got = docs.collect()
+    assert all(x[c] == "mine" for x in got for c in CLASHES)
+    assert {x.doc_id for x in got} == {None, *range(60)} - {4}
+    assert {x.doc_id for x in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {None, *range(60)} - {4}
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    none = spark.createDataFrame([(1, None, None, None, None), (2, "", "aa", "s", 0)], schema)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, str(tmp_path)).columns == none.columns
+
+
 @pytest.mark.parametrize("part", ["<svg width='1'/>", "<math/>", "<datalist><option>unseen<option>unseen</datalist>", "<button>unseen<div>unseen</button>", "<div><select><option>unseen</div>", "<svg><path d=''/><style/><text>unseen</text></svg>", "<svg><g>unseen", "<template><p>unseen</p></template>"])
 def test_only_raw_text_hides_what_follows(part):
     blocks = html_extract.parse(f"<div><p>first</p>{part}<p>second</p></div><p>third</p>")

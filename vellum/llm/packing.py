@@ -14,6 +14,11 @@ the number of lengths and not on the number of documents.  Tasks number their
 pieces of each length, running sums over the tasks make that a rank, and the
 n-th piece of a length goes where the plan's n-th place of that length is.
 
+A limit on documents ends sequences of very short pieces, one on attention cost those
+of few long ones; a whole piece costs the square of the token capacity, so no smaller
+cost holds all pieces (a piece that fits nowhere is an error), and at that cost only
+the other two limits can end a sequence.
+
 Only documents longer than the capacity are cut, into pieces of the capacity
 after a first piece that takes the remainder.
 

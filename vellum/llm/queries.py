@@ -71,7 +71,7 @@ def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0)
+    return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end=0, documents=1024, cost=2048 * 2048)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
