@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,12 @@ def test_archives_follow_from_pages_alone(spark):
     assert all(a[1] < b[0] for a, b in zip(ids, ids[1:], strict=False))  # ranges in order
 
 
+def test_first_pages_of_ranges_in_any_order():
+    batch = pa.RecordBatch.from_arrays([pa.array([50, 60, 10, 20]), pa.array([0, 5, 0, 5]), pa.array([1, 1, 0, 0], pa.int32())], names=["page_id", "begin", "part"])
+    (got,) = warc._firsts([batch], np.array([0, 10]), 12)
+    assert got.to_pylist() == [{"file": 0, "page_id": 10}, {"file": 1, "page_id": 60}]
+
+
 def test_revisits_can_be_resolved_by_any_reader(spark):
     """Plain reading, file by file: a warcinfo first, and every revisit names a response's target, date and page."""
     rows = [(5, "http://a.example/5", "same"), (6, "http://a.example/6", "same"), (6, "http://a.example/6b", "other"), (6, "http://a.example/6", "same"), (7, None, "same"), (8, " ", "own"), (5, "http://a.example/5b", "same")]

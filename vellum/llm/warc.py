@@ -168,8 +168,9 @@ def _firsts(batches, base: np.ndarray, roll: int):
     """Of the batch's pages, the first of each file."""
     for batch in batches:
         file = (np.asarray(batch.column("begin")) + base[np.asarray(batch.column("part"))]) // roll
-        files, at = np.unique(file, return_index=True)
-        yield pa.RecordBatch.from_arrays([pa.array(files), batch.column("page_id").take(pa.array(at))], names=["file", "page_id"])
+        order = np.lexsort((np.asarray(batch.column("page_id")), file))  # a batch may hold ranges in any order
+        files, at = np.unique(file[order], return_index=True)
+        yield pa.RecordBatch.from_arrays([pa.array(files), batch.column("page_id").take(pa.array(order[at]))], names=["file", "page_id"])
 
 
 def first_pages(sizes: DataFrame, roll: int) -> np.ndarray:
