@@ -1,4 +1,4 @@
-"""Scalar functions and predicates as column expressions (survey F2, F5, F6, F8, X5, X6, X10, X11, X16, X17)."""
+"""Scalar functions and predicates as column expressions (survey P9, P10, F2, F5, F6, F8, S23, X5, X6, X10, X11, X15-X20)."""
 
 from __future__ import annotations
 
@@ -85,3 +85,122 @@ def routed(finding_domain: Column, file_domain: Column, severity: Column) -> Col
     """a finding counts where its domains include the file's, in tests only if it is severe."""
     severe = severity.isin("KevCritical", "Critical", "Exhaustion")
     return (finding_domain.bitwiseAND(file_domain) != 0) & ((file_domain != TEST) | severe)
+
+
+# Names and extensions of surfaces.
+SURFACE_NAMES = {"Dockerfile": "dockerfile", "CMakeLists.txt": "cmake", "BUILD": "bzl", "WORKSPACE": "bzl", "MODULE.bazel": "bzl"}
+SURFACES = {
+    "py": "py", "rs": "rs", "cpp": "cpp", "cxx": "cpp", "cc": "cpp", "h": "cpp", "hpp": "cpp", "c": "cpp", "java": "java", "cs": "cs", "go": "go", "js": "js", "mjs": "js", "cjs": "js",
+    "jsx": "jsx", "ts": "ts", "tsx": "tsx", "glsl": "glsl", "vert": "glsl", "frag": "glsl", "scala": "scala", "sh": "sh", "bash": "sh", "cmd": "cmd", "zsh": "zsh", "m": "m", "mm": "mm",
+    "rb": "rb", "php": "php", "swift": "swift", "lua": "lua", "nix": "nix", "gd": "gd", "tf": "tf", "hcl": "hcl", "json": "json", "toml": "toml", "yaml": "yaml", "yml": "yaml", "xml": "xml",
+    "proto": "proto", "bzl": "bzl", "mod": "mod", "go-version": "go-version", "properties": "properties", "env": "env", "bat": "bat", "ps1": "ps1", "patch": "patch",
+    "permitted-images": "permitted-images", "csv": "csv", "md": "md", "rst": "rst", "lock": "lock", "svg": "svg", "map": "map",
+}
+MEBI = 1 << 20
+#: Largest file, largest file of a deep scan, largest patch.
+FILE_BYTES, DEEP_BYTES, PATCH_BYTES = MEBI, 32 * MEBI, 64 << 10
+# Endings of files that hold no text.
+BINARY_ENDS = (
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".pdf", ".zip", ".gz", ".tar", ".tgz", ".bz2", ".xz", ".7z", ".jar", ".war", ".class", ".so", ".dll", ".dylib", ".exe", ".o",
+    ".a", ".wasm", ".woff", ".woff2", ".ttf", ".eot", ".otf", ".mp3", ".mp4", ".avi", ".mov", ".wav",
+)
+
+
+def surface(path: Column) -> Column:
+    """The surface of a path: by file name, then by extension; empty when unknown."""
+    name = F.element_at(F.split(normal_path(path), "/"), -1)
+    table = lambda d: F.create_map(*[F.lit(x) for p in d.items() for x in p])
+    extension = F.regexp_extract(name, r".\.([^.]+)$", 1)
+    return F.coalesce(F.try_element_at(table(SURFACE_NAMES), name), F.when(name.startswith("BUILD."), "bzl"), F.try_element_at(table(SURFACES), extension), F.lit(""))
+
+
+def scannable(path: Column, size: Column, deep: bool = False) -> Column:
+    """neither a binary asset nor larger than scans read."""
+    out = size <= (DEEP_BYTES if deep else FILE_BYTES)
+    for end in BINARY_ENDS:
+        out = out & ~F.lower(path).endswith(end)
+    return out
+
+
+def byte_length(start: Column, end: Column) -> Column:
+    """P10: the length of a span, never below 0."""
+    return F.greatest(end - start, F.lit(0))
+
+
+def expired(stamp: Column, now: Column) -> Column:
+    """Whether an expiry (a day, or a time with zone) is not after now; one that does not parse has expired."""
+    when = F.coalesce(F.try_to_timestamp(stamp), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd")))
+    return F.coalesce(when <= now, F.lit(True))
+
+
+def humanised(label: Column) -> Column:
+    """A label for people: what follows its last colon, underscores as spaces, first letter large."""
+    words = F.translate(F.element_at(F.split(label, ":"), -1), "_", " ")
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
+
+
+def latex_safe(text: Column) -> Column:
+    """Characters that LaTeX reads as markup, escaped."""
+    return F.regexp_replace(F.regexp_replace(text, r"([&%$#_{}])", r"\\$1"), r"[\^~]", "-")
+
+
+def html_escaped(text: Column) -> Column:
+    """The five characters of HTML markup as references."""
+    out = F.replace(text, F.lit("&"), F.lit("&amp;"))
+    for c, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(c), F.lit(name))
+    return out
+
+
+def shortened(text: Column, most: int) -> Column:
+    """A text of `most` characters at most, the last one an ellipsis where it was cut."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 1), F.lit("…"))).otherwise(text)
+
+
+def line_count(text: Column) -> Column:
+    """Lines of a text; a last line without an end counts."""
+    return F.regexp_count(text, F.lit("\n")) + F.when((text != "") & ~text.endswith("\n"), 1).otherwise(0)
+
+
+def rule_class(rule: Column) -> Column:
+    """The class of a rule, without what tells where it fired."""
+    return F.lower(F.regexp_extract(rule, r"^([A-Za-z0-9_]+:[A-Za-z0-9_]+)", 1))
+
+
+def hop(name: Column) -> Column:
+    """A step of a flow without names: what it does, not what it is called."""
+    low = F.lower(name)
+    return (
+        F.when(low.rlike("sanit|escape|encode|valid"), "sanitizer")
+        .when(low.rlike("request|param|input|query|body|header|argv|env"), "source")
+        .when(low.rlike("exec|eval|system|query|write|send|render"), "sink")
+        .otherwise("call")
+    )
+
+
+def flow_signature(rule: Column, hops: Column) -> Column:
+    """A digest of a rule's class and the kinds of its hops, equal wherever the same flow is found."""
+    return F.sha2(F.concat_ws("->", rule_class(rule), F.transform(hops, hop)), 256)
+
+
+def workers(ram_gib: Column, cores: Column) -> Column:
+    """How many workers a machine of so much memory runs."""
+    return F.when(ram_gib <= 8, F.least(cores, F.lit(2))).when(ram_gib <= 16, F.least(cores, F.lit(4))).when(ram_gib <= 32, F.least(cores, F.lit(8))).otherwise(cores)
+
+
+def iso_time(seconds: Column) -> Column:
+    """Seconds since 1970 as a time in UTC, whatever the session's zone."""
+    return F.date_format(F.timestamp_add("SECOND", seconds, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def deobfuscated(payload: Column, layers: int = 3) -> Column:
+    """X11: a payload without its wrapping: quoted pieces joined by plus signs, a decoder call around it, an array of hexadecimal numbers, base64 or hexadecimal digits, up to some layers."""
+    out = payload
+    for _ in range(layers):
+        joined = F.regexp_replace(out, r"[\"']\s*\+\s*[\"']", "")
+        inner = F.regexp_extract(joined, r"^\s*(?:[\w.]+\()*\s*[\"']([^\"']*)[\"']", 1)
+        text = F.when(inner != "", inner).otherwise(joined)
+        codes = F.regexp_extract_all(text, F.lit(r"0x([0-9A-Fa-f]{2})\b"), F.lit(1))
+        array = F.when(F.size(codes) > 1, F.decode(F.unhex(F.array_join(codes, "")), "UTF-8"))
+        out = F.coalesce(array, decoded(text), text)
+    return out

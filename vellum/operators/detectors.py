@@ -1,4 +1,4 @@
-"""Rule rows over source text, and a Python call-site table function (survey 2.13 D1-D92, E1, E3, F2, F4).
+"""Rule rows over source text as plan expressions, and a Python call-site table function (survey S16, S21, G18, F4, W9, E1, E3; D8, D12, D15, D17, D18, D23, D36, D40-D44, D51, D53, D57).
 
 A rule is a row: id, languages, a pattern that must match a line or span, and one
 that must not.  Rules are code, few and fixed, so they are expressions in the plan
@@ -25,7 +25,7 @@ class Rule:
     unless: str | None = None
 
 
-RULES: list[Rule] = [
+RULES: tuple[Rule, ...] = (
     Rule("security:subprocess_shell_injection", ("py",), r"subprocess\.(?:run|call|Popen|check_output)\([^\n]*shell\s*=\s*True"),
     Rule("security:sqli_concatenation", ("py", "js", "ts", "java", "cs", "go", "rb", "php"), r"(?i)(?:execute|query|raw|prepare|CommandText)\s*(?:\(|=)[^\n]*[\"'](?:select|insert|update|delete)\b[^\n]*[\"']\s*(?:\+|\.\s*\$|%)"),
     Rule("security:ssrf_dynamic_url", ("py", "js", "ts", "go"), r"(?:requests\.(?:get|post)|urlopen|fetch|axios\.(?:get|post)|http\.Get)\([^\n]*[\"']\s*\+"),
@@ -56,21 +56,21 @@ RULES: list[Rule] = [
     Rule("security:swift_dynamic_symbol", ("swift", "m"), r"\bdlopen\s*\(|NSClassFromString\s*\("),
     Rule("security:unpinned_workflow_action", ("yaml", "yml"), r"uses:\s*[\w./-]+@(?![0-9a-f]{40}\b)\S+", "High"),
     Rule("security:llm_prompt_injection", ("py", "js", "ts"), r"(?i)(?:messages|prompt)\s*[=:][^\n]*(?:request\.|req\.body|input\()"),
-]
+)
 
 
-def register(rule: Rule) -> None:
-    """Add a rule of one's own."""
-    RULES.append(rule)
+def with_rules(*own: Rule) -> tuple[Rule, ...]:
+    """The rules with some of one's own, for `scan`; nothing is kept between calls."""
+    return (*RULES, *own)
 
 
 def language_of(path: Column) -> Column:
-    """The extension that names a file's language; Dockerfile by name."""
+    """The extension that names a file's language; Dockerfile and CMakeLists.txt by name."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
     return F.when(name.startswith("dockerfile"), "dockerfile").when(name == "cmakelists.txt", "cmake").otherwise(F.regexp_extract(name, r"\.([a-z0-9]+)$", 1))
 
 
-def scan(files: DataFrame, path: str = "path", content: str = "content", rules: list[Rule] | None = None) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", content: str = "content", rules: tuple[Rule, ...] | None = None) -> DataFrame:
     """path, id, severity, line, snippet: one row for each match of each rule of the file's language."""
     rules = RULES if rules is None else rules
     lang, text = language_of(F.col(path)), F.col(content)

@@ -1,4 +1,4 @@
-"""Graph operators over edge tables (survey G1-G17, J22, G4-G6, A21).
+"""Graph operators over edge tables (survey G1-G12, G14-G17, G19, A21, J19, J22, U4).
 
 Loops keep a frontier and what was seen, join the frontier with the edges and
 subtract what was seen; each round is checkpointed, so plans stay small.
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import settle
@@ -163,12 +163,121 @@ def inherited(edges: DataFrame, own: DataFrame) -> DataFrame:
 
 
 def scattered(edges: DataFrame, touched: DataFrame, farthest: int = 4) -> DataFrame:
-    """Pairs of touched nodes farther apart than the limit either way (null distance: not connected)."""
+    """For each touched node that is not within reach of all others either way: node, near (how many others are), others.
+
+    Pairs are counted, not formed: a set of touched nodes is scattered where some node's
+    near is below others, and no row is made for two nodes that do not meet.
+    """
     t = touched.select("node").distinct()
-    r = reachable(edges, t, farthest + 1)
-    d = r.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "depth").groupBy("a", "b").agg(F.min("depth").alias("distance"))
-    pairs = t.withColumnRenamed("node", "a").join(t.withColumnRenamed("node", "b"), F.col("a") < F.col("b"))
-    return pairs.join(d, ["a", "b"], "left").where(F.col("distance").isNull() | (F.col("distance") > farthest))
+    r = reachable(edges, t, farthest).join(t.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    both = r.select("src", "dst").union(r.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    near = both.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("near"))
+    total = t.agg((F.count("*") - 1).alias("others"))
+    counted = t.join(near, "node", "left").withColumn("near", F.coalesce("near", F.lit(0))).join(F.broadcast(total))  # one row
+    return counted.where("near < others")
+
+
+def distances(edges: DataFrame, touched: DataFrame, farthest: int = 4) -> DataFrame:
+    """(a, b, distance) of touched nodes that meet within the limit, the shorter of both ways."""
+    t = touched.select("node").distinct()
+    r = reachable(edges, t, farthest).join(t.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    return r.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "depth").groupBy("a", "b").agg(F.min("depth").alias("distance"))
+
+
+def prototype_chains(confirmed: DataFrame, sinks: DataFrame) -> DataFrame:
+    """A witness for each sink (function, sink_label) where a project (project) has a confirmed global source: joined on the project."""
+    return sinks.join(confirmed.select("project").distinct(), "project", "left_semi").select("project", "function", "sink_label", F.concat(F.lit("__global_polluted_prototype>"), "function").alias("chain"))
+
+
+AUTH_GUARD = r"(?i)auth|guard|jwt|passport|session|login|permission|protect"
+
+
+def downgraded(findings: DataFrame, middlewares: DataFrame) -> DataFrame:
+    """Missing ownership under a recognised guard of its file (node, middlewares) is informational, with the guards named."""
+    guards = middlewares.select(F.col("node").alias("file"), F.filter("middlewares", lambda m: m.rlike(AUTH_GUARD)).alias("guards")).where(F.size("guards") > 0)
+    j = findings.join(guards, "file", "left")
+    hit = (F.col("id") == "security:missing_ownership_check") & F.col("guards").isNotNull()
+    return j.withColumn("severity", F.when(hit, "Informational").otherwise(F.col("severity"))).withColumn("auth", F.when(hit, F.array_join("guards", ", "))).drop("guards")
+
+
+def can_reach(edges: DataFrame, ingress: DataFrame, targets: DataFrame) -> DataFrame:
+    """(ingress, target) pairs across a trust boundary: reached, or the same node."""
+    r = reachable(edges, ingress.select("node")).select(F.col("src").alias("ingress"), F.col("dst").alias("target"))
+    own = ingress.select(F.col("node").alias("ingress"), F.col("node").alias("target"))
+    return r.union(own).join(targets.select(F.col("node").alias("target")).distinct(), "target", "left_semi").select("ingress", "target").distinct()
+
+
+def privileged(edges: DataFrame, grants: DataFrame, privileges: DataFrame) -> DataFrame:
+    """Relations that a granted relation delegates to and that are privileged: (grant, privilege), the proof of an escalation."""
+    return can_reach(edges, grants, privileges).select(F.col("ingress").alias("grant"), F.col("target").alias("privilege")).where("grant != privilege")
+
+
+def dominators(edges: DataFrame, root: str) -> DataFrame:
+    """(node, dominator) for every node that the root reaches, itself and the root included.
+
+    A node's dominators are itself and what all its predecessors' have in common; sets
+    shrink from all nodes until nothing changes.  For the graphs of one project: the
+    sets are as many as nodes times their depth in the dominator tree.
+    """
+    inside = reachable(edges, edges.sparkSession.range(1).select(F.lit(root).alias("node"))).select(F.col("dst").alias("node"))
+    nodes = settle(inside.union(edges.sparkSession.range(1).select(F.lit(root).alias("node"))).distinct())
+    e = settle(edges.select("src", "dst").where("src != dst").distinct().join(nodes.withColumnRenamed("node", "src"), "src", "left_semi"))
+    # Nodes that were not met yet stand for all nodes, so they take no part in what predecessors have in common.
+    own = settle(nodes.where(F.col("node") == root).select("node", F.col("node").alias("dominator")))
+    known = own
+    while True:
+        met = known.select(F.col("node").alias("src")).distinct().join(e, "src").where(F.col("dst") != root).groupBy("dst").agg(F.count("*").alias("n"))
+        came = known.withColumnRenamed("node", "src").join(e, "src").groupBy("dst", "dominator").agg(F.count("*").alias("c")).join(met, "dst").where("c = n").select(F.col("dst").alias("node"), "dominator")
+        after = settle(came.union(met.select(F.col("dst").alias("node"), F.col("dst").alias("dominator"))).union(own).distinct())
+        if after.exceptAll(known).isEmpty() and known.count() == after.count():
+            return known
+        known = after
+
+
+def root_cause(edges: DataFrame, root: str, findings: DataFrame) -> DataFrame:
+    """The deepest function that dominates all located findings (function, finding): node, n_findings, findings; no row if one of them is out of the root's reach."""
+    d = settle(dominators(edges, root))
+    located = findings.join(d.select(F.col("node").alias("function")).distinct(), "function", "left_semi")
+    places = located.select("function").distinct()
+    n = F.broadcast(places.agg(F.count("*").alias("places")))  # one row
+    known = edges.select(F.col("src").alias("function")).union(edges.select("dst")).distinct()
+    lost = findings.join(known, "function", "left_semi").join(d.select(F.col("node").alias("function")).distinct(), "function", "left_anti")
+    common = places.join(d.withColumnRenamed("node", "function"), "function").groupBy("dominator").agg(F.count("*").alias("c")).join(n).where("c = places").select(F.col("dominator").alias("node"))
+    depth = d.groupBy("node").agg(F.count("*").alias("depth"))
+    best = common.join(depth, "node").agg(F.max_by("node", "depth").alias("node")).where("node IS NOT NULL")
+    told = located.agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_list("finding")).alias("findings"))
+    out = best.join(F.broadcast(told))
+    return out.join(F.broadcast(lost.agg(F.count("*").alias("lost"))), F.col("lost") == 0).drop("lost")
+
+
+def mesh_composition(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Sanitizers that a service dropped, and the services whose sources take what it sends: service, removed, consumers.
+
+    before, after: service, sources, sinks, sanitizers (arrays).
+    """
+    gone = after.join(before.select("service", F.col("sanitizers").alias("had")), "service").select("service", "sinks", F.array_except("had", "sanitizers").alias("removed")).where(F.size("removed") > 0)
+    sends = gone.select("service", F.explode("sinks").alias("channel"))
+    takes = after.select(F.col("service").alias("consumer"), F.explode("sources").alias("channel"))
+    met = sends.join(takes, "channel").where("service != consumer").groupBy("service").agg(F.array_sort(F.collect_set("consumer")).alias("consumers"))
+    return gone.join(met, "service", "left").select("service", F.explode("removed").alias("removed"), F.coalesce("consumers", F.array().cast("array<string>")).alias("consumers"))
+
+
+# Consistency of authorization reads, from the weakest.
+LEVELS = ("minimize_latency", "eventual", "at_least_as_fresh", "higher_consistency", "fully_consistent")
+
+
+def coherence(checks: DataFrame) -> DataFrame:
+    """The weakest consistency of each function's checks (function, level): a pessimistic meet; unknown levels count as the weakest."""
+    rank = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.lower("level"))
+    worst = checks.withColumn("_r", F.greatest(rank, F.lit(1))).groupBy("function").agg(F.min("_r").alias("r"))
+    return worst.select("function", F.element_at(F.array(*[F.lit(x) for x in LEVELS]), F.col("r").cast("int")).alias("level"))
+
+
+def revocation_races(events: DataFrame) -> DataFrame:
+    """Writes of relations (path, seq, kind, has_token) that a check follows in the same unit with no token of the write between them."""
+    after = Window.partitionBy("path").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    n = events.withColumns({"_check": F.min(F.when(F.col("kind") == "check", F.col("seq"))).over(after), "_token": F.min(F.when(F.col("has_token"), F.col("seq"))).over(after)})
+    return n.where((F.col("kind") == "write") & F.col("_check").isNotNull() & (F.col("_token").isNull() | (F.col("_token") > F.col("_check")))).select("path", "seq", F.col("_check").alias("check_seq"))
 
 
 def unbounded(edges: DataFrame) -> DataFrame:

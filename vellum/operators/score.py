@@ -1,4 +1,4 @@
-"""Patch scores, findings and predicates (survey A5, A6, A14, A15, A18, A22, A24, P10-P14, F1-F18, X14, A27)."""
+"""Patch scores, findings and predicates (survey A5, A6, A14, A15, A18, A22, A24, A26, A27, P11-P13, F1, F3, F9, F10, F13, F14, F18, J26, J29, T3, U3, W5, X14, E5, E7)."""
 
 from __future__ import annotations
 
@@ -132,3 +132,57 @@ def check_then_act(events: DataFrame, by: list[str], order: str, kind: str) -> D
     after = Window.partitionBy(*by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
     n = events.withColumns({"_act": F.min(F.when(F.col(kind) == "act", F.col(order))).over(after), "_guard": F.min(F.when(F.col(kind) == "guard", F.col(order))).over(after)})
     return n.where((F.col(kind) == "check") & F.col("_act").isNotNull() & (F.col("_guard").isNull() | (F.col("_guard") > F.col("_act")))).withColumnRenamed("_act", "act_at").drop("_guard")
+
+
+def fingerprint(source: Column, start: Column, end: Column) -> Column:
+    """The first 8 bytes, in hexadecimal, of the digest of a finding's span (characters from 0, end exclusive, kept within the text)."""
+    first, last = F.least(F.greatest(start, F.lit(0)), F.length(source)), F.least(F.greatest(end, F.lit(0)), F.length(source))
+    return F.substring(F.sha2(F.substring(source, first + 1, F.greatest(last - first, F.lit(0))), 256), 1, 16)
+
+
+DECISION = ("dead_symbols_added", "logic_clones_found", "zombie_symbols_added", "antipattern_score", "comment_violations", "unlinked_pr", "hallucinated_security_fix", "agentic_origin_penalty", "version_silo_count")
+
+
+def decision_total() -> Column:
+    """The sum of a decision's score vector; nulls count as 0."""
+    return sum((F.coalesce(F.col(c), F.lit(0)) for c in DECISION), F.lit(0))
+
+
+def selected(findings: DataFrame, expression: str) -> DataFrame:
+    """Findings for which a SQL expression over their columns holds; it must be a condition, so the result is findings again."""
+    kind = findings.select(F.expr(expression).alias("c")).schema["c"].dataType.simpleString()
+    if kind != "boolean":
+        raise ValueError(f"the expression must be a condition, not {kind}")
+    return findings.where(expression)
+
+
+def believed(findings: DataFrame, verdicts: DataFrame, most: float = 0.85) -> DataFrame:
+    """findings of symbols whose estimated chance of being false is at most the limit; verdicts: symbol, pardoned, confirmed."""
+    p = (F.col("pardoned") + 1) / (F.col("pardoned") + F.col("confirmed") + 2)
+    return findings.join(verdicts.where(p > most).select("symbol").distinct(), "symbol", "left_anti")
+
+
+def learned(findings: DataFrame, memory: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings whose rule class the memory (rule_class, fingerprint) knows; and the signatures that it lacks, each once."""
+    known = findings.join(memory.select("rule_class").distinct(), "rule_class", "left_semi")
+    new = findings.select("rule_class", "fingerprint").distinct().join(memory.select("fingerprint"), "fingerprint", "left_anti")
+    return known, new.dropDuplicates(["fingerprint"])
+
+
+def merged_patterns(a: Column, b: Column) -> Column:
+    """Two lists of patterns as one, sorted, repeats kept."""
+    return F.sort_array(F.concat(a, b))
+
+
+def pattern_matches(name: Column, patterns: DataFrame, symbols: DataFrame) -> DataFrame:
+    """E5: symbols that a dictionary (kind: exact, prefix, suffix or marker; word) knows.  Exact words join on equality; prefixes and suffixes join on every cut of a name; markers are words between its underscores."""
+    s = symbols.withColumn("_name", name)
+    cuts = F.sequence(F.lit(1), F.greatest(F.length("_name"), F.lit(1)))
+    keys = F.array_distinct(F.concat(
+        F.array(F.struct(F.lit("exact").alias("kind"), F.col("_name").alias("word"))),
+        F.transform(cuts, lambda i: F.struct(F.lit("prefix").alias("kind"), F.substring("_name", F.lit(1), i).alias("word"))),
+        F.transform(cuts, lambda i: F.struct(F.lit("suffix").alias("kind"), F.right("_name", i).alias("word"))),
+        F.transform(F.split("_name", "_+"), lambda w: F.struct(F.lit("marker").alias("kind"), w.alias("word"))),
+    ))
+    each = s.select(*symbols.columns, F.explode(keys).alias("k")).select(*symbols.columns, "k.kind", "k.word")
+    return each.join(patterns.select("kind", "word").distinct(), ["kind", "word"], "left_semi").select(*symbols.columns).distinct()

@@ -1,30 +1,38 @@
-"""Sketches and near-duplicates of texts (survey A7, A9-A13, J14, J15, F15, A19)."""
+"""Sketches and near-duplicates of texts (survey A7, A9-A13, A19, J14, J15, F15, E6)."""
 
 from __future__ import annotations
 
+import functools
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import settle
+
 SEEDS, BANDS = 64, 8
 
 
-def grams(h: Column) -> Column:
-    """Distinct 3-byte grams of a value's hexadecimal digits; 1-byte grams under 3 bytes; none when empty.
+def _least(batches, seeds: int):
+    """Sketches made where the text is: the least of 64-bit digests of its distinct 3-byte grams, for each seed."""
+    import hashlib
 
-    The three ways to cut at a distance of three bytes give every gram in linear
-    time, where a substring at each place would walk to it from the start.
-    """
-    every = lambda s, size: F.regexp_extract_all(s, F.lit(".{%d}" % size), F.lit(0))  # noqa: E731, UP031
-    three = F.concat(every(h, 6), every(F.substring(h, F.lit(3), F.length(h)), 6), every(F.substring(h, F.lit(5), F.length(h)), 6))
-    return F.array_distinct(F.when(F.length(h) < 6, every(h, 2)).otherwise(three))
+    for batch in batches:
+        out = []
+        for v in batch.column(1).cast(pa.large_binary()):
+            raw = v.as_buffer().to_pybytes() if v.is_valid else b""
+            n = 3 if len(raw) >= 3 else 1
+            grams_ = sorted({raw[i : i + n].hex().upper() for i in range(len(raw) - n + 1)})
+            out.append([min(hashlib.md5(f"{k}:{g}".encode()).hexdigest()[:16] for g in grams_) if grams_ else None for k in range(seeds)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=[batch.schema.names[0], "sketch"])
 
 
 def minhash(df: DataFrame, key: str, text: str, seeds: int = SEEDS) -> DataFrame:
-    """For each seed the least digest of the text's grams: key, sketch; null digests for empty texts."""
-    h = df.select(key, F.hex(F.encode(text, "UTF-8")).alias("h"))
-    g = h.select(key, F.explode_outer(grams(F.col("h"))).alias("g"))
-    least = [F.min(F.substring(F.md5(F.concat(F.lit(f"{i}:"), "g")), 1, 16)).alias(f"m{i}") for i in range(seeds)]
-    return g.groupBy(key).agg(*least).select(key, F.array(*[F.col(f"m{i}") for i in range(seeds)]).alias("sketch"))
+    """For each seed the least digest of the text's grams: key, sketch; null digests for empty texts.  One row in, one row out: no gram is ever a row."""
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.encode(text, "UTF-8").alias("raw")).mapInArrow(functools.partial(_least, seeds=seeds), f"`{key}` {kind}, sketch array<string>")
 
 
 def bands(sketches: DataFrame, key: str, seeds: int = SEEDS, n: int = BANDS) -> DataFrame:
@@ -51,13 +59,38 @@ def links_of_sketches(sketches: DataFrame, key: str, threshold: float, seeds: in
     ``classes`` says which key is of which class.  So a thousand copies of a text
     are one row here, and no link between different texts is lost.
     """
-    distinct = sketches.groupBy("sketch").agg(F.min(key).alias("rep"))
+    distinct = settle(sketches.groupBy("sketch").agg(F.min(key).alias("rep")))
     b = bands(distinct.select("rep", "sketch"), "rep", seeds, n)
-    pairs = b.alias("x").join(b.alias("y"), ["band", "slot"]).where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    sizes = b.groupBy("band", "slot").agg(F.count("*").alias("n")).where("n > 1")
+    b = settle(b.join(sizes, ["band", "slot"]))
+    # Small slots give all their pairs.  The members of a large one meet only where a second band agrees too, or, to
+    # lose no link, where a gram of their sketches agrees at a position within the share that the threshold leaves open.
+    small = b.where(F.col("n") <= PAIRS_UP_TO).groupBy("band", "slot").agg(F.sort_array(F.collect_list("rep")).alias("m"))  # PAIRS_UP_TO entries at most
+    near = small.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
+    large = b.where(F.col("n") > PAIRS_UP_TO).select("rep").distinct().join(distinct, "rep")
+    pairs = settle(near.unionByName(_by_prefix(large, seeds, threshold)).distinct())
     both = pairs.join(distinct.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
     return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+#: Slots of more sketches than this go through the prefix filter.
+PAIRS_UP_TO = 64
+
+
+def _by_prefix(sketches: DataFrame, seeds: int, threshold: float) -> DataFrame:
+    """Pairs (a, b) that may agree in enough positions: an exact prefix filter, seldom values first.
+
+    Two sketches that agree in t of n positions have their first common value, in one
+    order of all values, among the first n - t + 1 of each.
+    """
+    keep = seeds - math.ceil(threshold * seeds - 1e-9) + 1
+    values = settle(sketches.select("rep", F.posexplode("sketch").alias("at", "value")))
+    counts = values.groupBy("at", "value").agg(F.count("*").alias("c"))
+    listed = values.join(counts, ["at", "value"]).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "at", "value"))), 1, keep).alias("p"))  # SEEDS entries at most
+    first = listed.select("rep", F.explode("p").alias("x")).where("x.c > 1").select("rep", "x.at", "x.value")
+    return first.alias("x").join(first.alias("y"), ["at", "value"]).where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+
+
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, rep): the class of equal sketches of each key."""
     sketches = minhash(df, key, text).where("sketch[0] IS NOT NULL")
@@ -71,12 +104,30 @@ def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     return g.where("n >= 2").select("rep", "digest", "n", (F.col("n") - 1).alias("extra"))
 
 
-def simhash_votes(df: DataFrame, key: str, feature: Column, bits: int = 64) -> DataFrame:
-    """A bit is 1 when the votes for it outweigh those against; features are rows."""
-    counted = df.groupBy(key, feature.alias("_f")).agg(F.count("*").alias("_n"))  # a repeated feature is hashed once
-    h = counted.select(key, "_n", F.lpad(F.conv(F.substring(F.md5("_f"), 1, 16), 16, 2), 64, "0").alias("b"))
-    votes = [F.sum(F.when(F.substring("b", i + 1, 1) == "1", F.col("_n")).otherwise(-F.col("_n"))).alias(f"v{i}") for i in range(bits)]
-    return h.groupBy(key).agg(*votes).select(key, F.concat(*[F.when(F.col(f"v{i}") > 0, "1").otherwise("0") for i in range(bits)]).alias("simhash"))
+def _votes(batches, pattern: str):
+    import hashlib
+    import re
+
+    words = re.compile(pattern)
+    for batch in batches:
+        out = []
+        for text in batch.column(1).to_pylist():
+            counts: dict[str, int] = {}
+            for w in words.findall(text or ""):
+                counts[w] = counts.get(w, 0) + 1
+            if not counts:
+                out.append(None)
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(hashlib.md5(w.encode()).digest()[:8] for w in counts), np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
+            n = np.fromiter(counts.values(), np.int64)
+            out.append("".join("1" if v > 0 else "0" for v in ((2 * bits - 1) * n[:, None]).sum(axis=0)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=[batch.schema.names[0], "simhash"])
+
+
+def simhash_votes(df: DataFrame, key: str, text: str, pattern: str = "[a-z]+") -> DataFrame:
+    """Key, simhash (64 binary digits): a bit is 1 when the votes of a text's features for it outweigh those against; null without a feature.  Voted where the text is."""
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(text).alias("t")).mapInArrow(functools.partial(_votes, pattern=pattern), f"`{key}` {kind}, simhash string")
 
 
 def band_of(similarity: Column) -> Column:
@@ -92,17 +143,57 @@ def sign_bits(vector: Column) -> Column:
 
 
 def hamming_links(df: DataFrame, key: str, bits: str, most: int) -> DataFrame:
-    """Pairs of distinct bit strings within `most` bits, by pigeonhole over most + 1 pieces; equal strings are one representative."""
-    n = most + 1
+    """Pairs of distinct bit strings within `most` bits; equal strings are one representative.
+
+    Pigeonhole over pieces, two of which must agree: with most + 2 pieces at least two
+    are untouched, so a key is a pair of pieces and its values are many.
+    """
+    n = most + 2
     edges = [64 * k // n for k in range(n + 1)]
     reps = df.groupBy(bits).agg(F.min(key).alias("rep"))
-    pieces = F.array(*[F.struct(F.lit(k).alias("piece"), F.shiftrightunsigned(F.shiftleft(F.col(bits), 64 - edges[k + 1]), 64 - (edges[k + 1] - edges[k])).alias("value")) for k in range(n)])
-    p = reps.select("rep", bits, F.explode(pieces).alias("x")).select("rep", bits, "x.piece", "x.value")
-    j = p.alias("x").join(p.alias("y"), ["piece", "value"]).where("x.rep < y.rep")
+    piece = lambda k: F.shiftrightunsigned(F.shiftleft(F.col(bits), 64 - edges[k + 1]), 64 - (edges[k + 1] - edges[k]))
+    keys = F.array(*[F.struct(F.lit(i * n + j).alias("which"), piece(i).alias("u"), piece(j).alias("v")) for i in range(n) for j in range(i + 1, n)])
+    p = settle(reps.select("rep", bits, F.explode(keys).alias("x")).select("rep", bits, "x.which", "x.u", "x.v"))
+    j = p.alias("x").join(p.alias("y"), ["which", "u", "v"]).where("x.rep < y.rep")
     distance = F.bit_count(F.col(f"x.{bits}").bitwiseXOR(F.col(f"y.{bits}")))
     return j.where(distance <= most).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), distance.cast("int").alias("distance")).distinct()
 
 
+def enough(text: Column) -> Column:
+    """whether a text has the 3-byte grams that a sketch needs: five at least."""
+    return F.octet_length(text) - 2 >= 5
+
+
+def collisions(current: DataFrame, history: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """Changes of the same repository that resemble a current one: (repo_slug, pr_number, other, similarity); both: repo_slug, pr_number, sketch.  A change never meets itself, and numbers of 0 take no part."""
+    each = lambda df, n: df.where("pr_number != 0").select("repo_slug", F.col("pr_number").alias(n), F.col("sketch").alias(f"s_{n}"), F.explode(_slots("sketch")).alias("slot"))
+    met = each(current, "pr_number").join(each(history, "other"), ["repo_slug", "slot"]).where("pr_number != other").drop("slot").distinct()
+    return met.select("repo_slug", "pr_number", "other", jaccard(F.col("s_pr_number"), F.col("s_other")).alias("similarity")).where(F.col("similarity") >= threshold)
+
+
+def _slots(sketch: str) -> Column:
+    rows = SEEDS // BANDS
+    return F.array(*[F.concat(F.lit(f"{b}:"), F.array_join(F.slice(sketch, b * rows + 1, rows), "")) for b in range(BANDS)])
+
+
+#: Rows and columns of the counting sketch.
+DEPTH, COLUMNS = 4, 2048
+
+
+def count_min(events: DataFrame, key: str, weight: Column | None = None) -> DataFrame:
+    """A Count-Min sketch as a table (row, cell, n): DEPTH times COLUMNS rows at most, whatever the events."""
+    cells = F.array(*[F.struct(F.lit(k).alias("row"), F.pmod(F.xxhash64(F.lit(k), key), F.lit(COLUMNS)).alias("cell")) for k in range(DEPTH)])
+    one = events.select((weight if weight is not None else F.lit(1).cast("long")).alias("w"), F.explode(cells).alias("c"))
+    return one.groupBy("c.row", "c.cell").agg(F.sum("w").alias("n"))
+
+
+def estimates(keys: DataFrame, key: str, sketch_: DataFrame) -> DataFrame:
+    """What the sketch says of each key: its count or more."""
+    cells = F.array(*[F.struct(F.lit(k).alias("row"), F.pmod(F.xxhash64(F.lit(k), key), F.lit(COLUMNS)).alias("cell")) for k in range(DEPTH)])
+    one = keys.select(key).distinct().select(key, F.explode(cells).alias("c")).select(key, "c.row", "c.cell")
+    return one.join(F.broadcast(sketch_), ["row", "cell"], "left").groupBy(key).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+
+
 def fp_probability(pardoned: Column, confirmed: Column) -> Column:
     """Laplace estimate that a finding is false."""
     return (pardoned + 1) / (pardoned + confirmed + 2)

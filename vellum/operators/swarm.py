@@ -29,11 +29,28 @@ def temporal_pairs(records: DataFrame, key: str, ts: Column, within: int = WEEK,
 def clusters(records: DataFrame, ts: Column, *by: str, gap: int = WEEK) -> DataFrame:
     """Numbers the clusters of records chained by gaps of at most `gap` seconds, within each `by`; ties share a cluster."""
     t = records.withColumn("_t", ts.cast("long"))
+    if not by:
+        return _clusters_of_all(t, gap)
     order = Window.partitionBy(*by).orderBy("_t")
     starts = t.withColumn("_new", F.coalesce((F.col("_t") - F.lag("_t").over(order) > gap).cast("int"), F.lit(1)))
     return starts.withColumn("cluster", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0))).drop("_new", "_t")
 
 
+def _clusters_of_all(t: DataFrame, gap: int) -> DataFrame:
+    """Clusters without a key, of any number of records: occupied stretches of `gap` seconds first (few), then records by their stretch.
+
+    A cluster that begins within a stretch begins there for all its records, so where
+    clusters begin is found from each stretch's own gaps, its first and its last record.
+    """
+    s = t.withColumn("_bin", F.floor(F.col("_t") / gap))
+    # Within a stretch no two records are more than the gap apart, so it holds no beginning but its first record's.
+    first = s.groupBy("_bin").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi"))
+    order = Window.orderBy("_bin")  # one row for each occupied stretch
+    starts = first.withColumn("_new", F.coalesce((F.col("lo") - F.lag("hi").over(order) > gap).cast("int"), F.lit(1)))
+    numbered = starts.withColumn("cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).select("_bin", "cluster")
+    return s.join(F.broadcast(numbered), "_bin").drop("_bin", "_t")
+
+
 def dangerous_pair(flags: Column) -> Column:
     """The first dangerous pair that a set of capabilities holds, as a mask; null if none."""
     out = F.lit(None).cast("int")

@@ -1,13 +1,15 @@
-"""Streaming forms (survey R1, R2, R4, R9): the same operators over streams of files."""
+"""Streaming forms (survey R1-R9, F7, J30, W10): the same operators over streams of files."""
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import settle
+from ..functions.frames import checkpoints, settle
+from ..operators import sketch
 from ..operators.log import LOG
 
 
@@ -42,26 +44,79 @@ def first_seen(packages: DataFrame, ts: str, late: str = "1 day") -> DataFrame:
     return packages.withWatermark(ts, late).dropDuplicatesWithinWatermark(["name"])
 
 
-def incremental(batch: DataFrame, state_path: str, key: list[str]) -> DataFrame:
-    """Rows of a batch whose key the state table lacks; they are added to it.  For foreachBatch."""
+def incremental(batch: DataFrame, batch_id: int, state_path: str, key: list[str]) -> DataFrame:
+    """Rows of a batch whose key (path and digest, say) the state lacks; they are added to it.  For foreachBatch.
+
+    The state is a folder of one part a batch.  A batch that is run again reads the parts
+    of the batches before it and overwrites its own, so it neither loses nor repeats keys.
+    """
     spark = batch.sparkSession
-    try:
-        known = spark.read.parquet(state_path).select(*key).distinct()
-        new = batch.join(known, key, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = batch
-    new = settle(new)  # a cached plan would be read anew once its own rows are in the table
-    new.select(*key).distinct().write.mode("append").parquet(state_path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(state_path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    new = batch
+    if there:
+        schema = batch.select(*key).schema.add("batch", "long")
+        known = spark.read.schema(schema).parquet(state_path).where(F.col("batch") < batch_id).select(*key)
+        new = batch.join(known.distinct(), key, "left_anti")
+    new = settle(new)  # read twice: written, and returned
+    new.select(*key).distinct().write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/batch={batch_id}")
     return new
 
 
+def compacted(spark: SparkSession, state_path: str, upto: int, key: list[str]) -> None:
+    """The parts of batches up to one number as one part, so the state does not grow by a folder a batch for ever."""
+    root = state_path.rstrip("/")
+    old = spark.read.parquet(root).where(F.col("batch") <= upto)
+    settle(old.select(*key).distinct()).write.mode("overwrite").parquet(f"{root}/batch={upto}")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for n in range(upto):
+        p = hadoop.Path(f"{root}/batch={n}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def probed(batch: DataFrame, batch_id: int, index_path: str, threshold: float = 0.85) -> DataFrame:
+    """A batch of signatures (repo_slug, pr_number, sketch) against those of the batches before it and its own, then added to them.  For foreachBatch."""
+    spark = batch.sparkSession
+    batch = settle(batch.select("repo_slug", "pr_number", "sketch"))
+    batch.write.mode("overwrite").parquet(f"{index_path.rstrip('/')}/batch={batch_id}")
+    index = spark.read.schema(batch.schema.add("batch", "long")).parquet(index_path).where(F.col("batch") <= batch_id).drop("batch")
+    return sketch.collisions(batch, index, threshold)
+
+
+def with_registry(stream: DataFrame, registry_path: str, apply, sink) -> object:
+    """A query that reads the registry anew for each batch: apply(batch, registry) -> rows, sink(rows, batch_id)."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        sink(apply(batch, batch.sparkSession.read.parquet(registry_path)), batch_id)
+
+    return stream.writeStream.foreachBatch(each)
+
+
+def hash_chain(rows: list[str], previous: str = "") -> list[str]:
+    """Digests that each cover their row and the digest before; a log is sequential by its nature, so this runs where it is written."""
+    out = []
+    for row in rows:
+        previous = hashlib.sha384((previous + row).encode()).hexdigest()
+        out.append(previous)
+    return out
+
+
+def chain_holds(chain: DataFrame) -> DataFrame:
+    """The numbers of rows (seq without gaps, row, digest) of a written chain that do not follow from the one before; each needs its neighbour only, so this is an equality join."""
+    before = chain.select((F.col("seq") + 1).alias("seq"), F.col("digest").alias("before"))
+    joined = chain.join(before, "seq", "left")
+    return joined.where(F.col("digest") != F.sha2(F.concat(F.coalesce("before", F.lit("")), "row"), 384)).select("seq")
+
+
 def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All that a stream has now, as a table in memory: for small aggregates, as in tests and queries."""
+    """All that a stream has now, written as a table in the shared folder and read again."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="vellum-")
-    where = f"{base.rstrip('/')}/vellum-stream-{name}-{spark.sparkContext.applicationId}-{id(stream)}"
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
+    root = f"{checkpoints(spark).rstrip('/')}/vellum-stream-{name}-{uuid.uuid4().hex}"
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/rows" if mode == "complete" else f"{root}/rows/batch={batch_id}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    found = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{root}/rows")
+    return found
