@@ -54,9 +54,9 @@ def glob_regex(glob: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """B, KB, MB or GB with one decimal, ties to the even digit."""
+    """B, KB or MB with one decimal, ties to the even digit."""
     scaled = lambda unit, name: F.concat(F.format_string("%.1f", F.bround(n / float(unit), 1)), F.lit(f" {name}"))
-    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, scaled(1 << 10, "KB")).when(n < 1 << 30, scaled(1 << 20, "MB")).otherwise(scaled(1 << 30, "GB"))
+    return F.when(n < 1 << 10, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, scaled(1 << 10, "KB")).otherwise(scaled(1 << 20, "MB"))
 
 
 def decoded(payload: Column) -> Column:

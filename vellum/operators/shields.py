@@ -91,10 +91,10 @@ UNSEEN_IN = (".po", ".pot", ".csv")
 
 
 def first_invisible(text: Column, path: Column | None = None) -> Column:
-    """M3: the first deceptive character: its byte offset and code point; null if there is none, and in translation and table files."""
+    """M3: the first deceptive character: its byte offset and its bytes; null if there is none, and in translation and table files."""
     pattern = f"[{INVISIBLE}]"
     before = F.element_at(F.split(text, pattern, 2), 1)
-    found = F.struct(F.octet_length(before).cast("bigint").alias("offset"), F.concat(F.lit("U+"), F.lpad(F.hex(F.regexp_extract(text, pattern, 0).cast("binary")), 4, "0")).alias("utf8"))
+    found = F.struct(F.octet_length(before).cast("bigint").alias("offset"), F.hex(F.regexp_extract(text, pattern, 0).cast("binary")).alias("utf8"))
     exempt = F.lit(False)
     for end in UNSEEN_IN if path is not None else ():
         exempt = exempt | path.endswith(end)

@@ -15,30 +15,44 @@ from ..functions.frames import settle
 SEEDS, BANDS = 64, 8
 
 
+#: Seeds are lines over 32-bit digests, modulo the next prime over 2**32.
+_PRIME = 4294967311
+
+
+def _lines(seeds: int) -> tuple[np.ndarray, np.ndarray]:
+    i = np.arange(1, seeds + 1, dtype=np.uint64)
+    return (np.uint64(1103515245) * i) % np.uint64(2147483647), np.uint64(12345) * i
+
+
 def _least(batches, seeds: int):
-    """Sketches made where the text is: the least of 64-bit digests of its distinct 3-byte grams, for each seed."""
+    """Sketches made where the text is: for each seed the least value of its distinct 3-byte grams (1-byte grams under 3 bytes)."""
     import hashlib
 
+    a, b = _lines(seeds)
     for batch in batches:
         out = []
         for v in batch.column(1).cast(pa.large_binary()):
             raw = v.as_buffer().to_pybytes() if v.is_valid else b""
             n = 3 if len(raw) >= 3 else 1
-            grams_ = sorted({raw[i : i + n].hex().upper() for i in range(len(raw) - n + 1)})
-            out.append([min(hashlib.md5(f"{k}:{g}".encode()).hexdigest()[:16] for g in grams_) if grams_ else None for k in range(seeds)])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=[batch.schema.names[0], "sketch"])
+            digests = b"".join(hashlib.md5(g.hex().upper().encode()).digest()[:4] for g in {raw[i : i + n] for i in range(len(raw) - n + 1)})
+            h = np.frombuffer(digests, ">u4").astype(np.uint64)
+            least = np.full(seeds, np.iinfo(np.uint64).max)
+            for at in range(0, len(h), 4096):
+                least = np.minimum(least, ((h[at : at + 4096, None] * a + b) % np.uint64(_PRIME)).min(axis=0))
+            out.append(least.astype(np.int64).tolist() if len(h) else [None] * seeds)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=[batch.schema.names[0], "sketch"])
 
 
 def minhash(df: DataFrame, key: str, text: str, seeds: int = SEEDS) -> DataFrame:
     """For each seed the least digest of the text's grams: key, sketch; null digests for empty texts.  One row in, one row out: no gram is ever a row."""
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.encode(text, "UTF-8").alias("raw")).mapInArrow(functools.partial(_least, seeds=seeds), f"`{key}` {kind}, sketch array<string>")
+    return df.select(key, F.encode(text, "UTF-8").alias("raw")).mapInArrow(functools.partial(_least, seeds=seeds), f"`{key}` {kind}, sketch array<long>")
 
 
 def bands(sketches: DataFrame, key: str, seeds: int = SEEDS, n: int = BANDS) -> DataFrame:
     """A10: (key, band, value of the band's rows)."""
     rows = seeds // n
-    each = F.array(*[F.struct(F.lit(b).alias("band"), F.array_join(F.slice("sketch", b * rows + 1, rows), "").alias("slot")) for b in range(n)])
+    each = F.array(*[F.struct(F.lit(b).alias("band"), F.slice("sketch", b * rows + 1, rows).alias("slot")) for b in range(n)])
     return sketches.select(key, F.explode(each).alias("x")).select(key, "x.band", "x.slot")
 
 
@@ -49,7 +63,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def lsh_links(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """Links between distinct texts that share a band and reach the threshold."""
-    return links_of_sketches(minhash(df, key, text).where("sketch[0] IS NOT NULL"), key, threshold)
+    return links_of_sketches(settle(minhash(df, key, text).where("sketch[0] IS NOT NULL")), key, threshold)
 
 
 def links_of_sketches(sketches: DataFrame, key: str, threshold: float, seeds: int = SEEDS, n: int = BANDS) -> DataFrame:
@@ -70,7 +84,9 @@ def links_of_sketches(sketches: DataFrame, key: str, threshold: float, seeds: in
     large = b.where(F.col("n") > PAIRS_UP_TO).select("rep").distinct().join(distinct, "rep")
     pairs = settle(near.unionByName(_by_prefix(large, seeds, threshold)).distinct())
     both = pairs.join(distinct.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    rows = seeds // n
+    banded = F.exists(F.array(*[F.slice("sa", k * rows + 1, rows) == F.slice("sb", k * rows + 1, rows) for k in range(n)]), lambda e: e)
+    return both.where(banded).select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 #: Slots of more sketches than this go through the prefix filter.
@@ -173,7 +189,7 @@ def collisions(current: DataFrame, history: DataFrame, threshold: float = 0.85)
 
 def _slots(sketch: str) -> Column:
     rows = SEEDS // BANDS
-    return F.array(*[F.concat(F.lit(f"{b}:"), F.array_join(F.slice(sketch, b * rows + 1, rows), "")) for b in range(BANDS)])
+    return F.array(*[F.struct(F.lit(b).alias("band"), F.slice(sketch, b * rows + 1, rows).alias("slot")) for b in range(BANDS)])
 
 
 #: Rows and columns of the counting sketch.

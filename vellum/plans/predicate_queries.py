@@ -49,23 +49,33 @@ def graph_bloat(spark, sf_dir):
     return graph.bloat(base, base.union(up), least=4)
 
 
-@query("graph_unvalidated", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 80 AS src, l_partkey % 80 AS dst FROM lineitem WHERE l_orderkey % 300 = 1),
-o AS (SELECT * FROM e WHERE src % 3 <> 0 AND dst % 3 <> 0 AND src <> dst), r(src, dst) AS (SELECT src, dst FROM o WHERE src % 10 = 1 UNION SELECT r.src, o.dst FROM r JOIN o ON r.dst = o.src)
-SELECT DISTINCT src::BIGINT AS source, dst::BIGINT AS sink FROM r WHERE dst % 10 = 7 AND src <> dst""")
+_RING = """WITH RECURSIVE e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'n' || (r_regionkey * 5 + 1) FROM region)"""
+
+
+def _ring(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("src"), F.concat(F.lit("n"), "s_nationkey").alias("dst"))
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey"))
+    r = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), "r_regionkey"), F.concat(F.lit("n"), F.col("r_regionkey") * 5 + 1))
+    return s.union(n).union(r).distinct()
+
+
+@query("graph_unvalidated", _RING + """, v AS (SELECT 'n' || n_nationkey AS node FROM nation WHERE n_name < 'G'),
+o AS (SELECT * FROM e WHERE src NOT IN (SELECT node FROM v) AND dst NOT IN (SELECT node FROM v)), r(src, dst) AS (SELECT src, dst FROM o WHERE src LIKE 's%' UNION SELECT r.src, o.dst FROM r JOIN o ON r.dst = o.src)
+SELECT src AS source, dst AS sink FROM r WHERE dst LIKE 'r%'""")
 def graph_unvalidated(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 300 = 1").select((F.col("l_suppkey") % 80).alias("src"), (F.col("l_partkey") % 80).alias("dst")).distinct()
-    nodes = spark.range(80).withColumnRenamed("id", "node")
-    return graph.unvalidated(e, nodes.where("node % 10 = 1"), nodes.where("node % 10 = 7"), nodes.where("node % 3 = 0"))
+    node = lambda t, prefix, key: table(spark, sf_dir, t).select(F.concat(F.lit(prefix), key).alias("node"))
+    guards = table(spark, sf_dir, "nation").where("n_name < 'G'").select(F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    return graph.unvalidated(_ring(spark, sf_dir), node("supplier", "s", "s_suppkey"), node("region", "r", "r_regionkey"), guards)
 
 
-@query("graph_unbounded", """WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 90 AS src, l_partkey % 90 AS dst FROM lineitem WHERE l_orderkey % 900 = 1),
-r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src::BIGINT AS node FROM r WHERE src = dst""")
+@query("graph_unbounded", _RING + ", r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst")
 def graph_unbounded(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 900 = 1").select((F.col("l_suppkey") % 90).alias("src"), (F.col("l_partkey") % 90).alias("dst")).distinct()
-    return graph.unbounded(e)
+    return graph.unbounded(_ring(spark, sf_dir))
 
 
-@query("human_sizes", "SELECT doc_id, CASE WHEN strlen(text) < 1024 THEN strlen(text) || ' B' ELSE format('{:.1f} KB', strlen(text) / 1024.0) END AS size FROM documents WHERE strlen(text) < 1048576")
+@query("human_sizes", """WITH s AS (SELECT doc_id, unnest([strlen(text), strlen(text) * 1000, strlen(text) * 1000000])::BIGINT AS n FROM documents)
+SELECT doc_id, n, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN format('{:.1f} KB', n / 1024.0) ELSE format('{:.1f} MB', n / 1048576.0) END AS size FROM s""")
 def human_sizes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("n")).where("n < 1048576")
-    return d.select("doc_id", scalars.human_bytes(F.col("n")).alias("size"))
+    n = F.octet_length("text").cast("bigint")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(n, n * 1000, n * 1000000)).alias("n"))
+    return d.select("doc_id", "n", scalars.human_bytes(F.col("n")).alias("size"))

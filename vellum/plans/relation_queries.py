@@ -28,12 +28,6 @@ def dep_silo_delta(spark, sf_dir):
     return deps.silo_delta(d.where("y >= 1997"), d.where("y < 1997"))
 
 
-@query("dep_unused", "SELECT 'p' || p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
-def dep_unused(spark, sf_dir):
-    used = table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.concat(F.lit("p"), "l_partkey").alias("name"))
-    return deps.unused(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), "p_partkey").alias("name")), used)
-
-
 @query("dep_phantom", """SELECT DISTINCT 'call_part_' || l_partkey AS name FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25) AND l_partkey NOT IN (SELECT s_suppkey FROM supplier)
  AND length('call_part_' || l_partkey) >= 8""")
 def dep_phantom(spark, sf_dir):
@@ -87,13 +81,14 @@ def graph_silos(spark, sf_dir):
     return graph.silos(_edges(spark, sf_dir))
 
 
-_BASE_HEAD = "WITH base AS (SELECT DISTINCT 's' || (l_suppkey % 40) AS src, 'p' || (l_partkey % 60) AS dst FROM lineitem WHERE l_orderkey % 10 < 4 AND l_partkey % 11 = 0), head AS (SELECT DISTINCT 's' || (l_suppkey % 40) AS src, 'p' || (l_partkey % 60) AS dst FROM lineitem WHERE l_orderkey % 10 > 2 AND l_partkey % 11 < 2)"
+#: Two snapshots of which supplier ships which part, before and after a day.
+_BASE_HEAD = "WITH base AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_shipdate < DATE '1995-06-17'), head AS (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_shipdate >= DATE '1995-06-17')"
 
 
 def _base_head(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    e = lambda df: df.select(F.concat(F.lit("s"), F.col("l_suppkey") % 40).alias("src"), F.concat(F.lit("p"), F.col("l_partkey") % 60).alias("dst")).distinct()
-    return e(li.where("l_orderkey % 10 < 4 AND l_partkey % 11 = 0")), e(li.where("l_orderkey % 10 > 2 AND l_partkey % 11 < 2"))
+    e = lambda df: df.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
+    return e(li.where("l_shipdate < DATE '1995-06-17'")), e(li.where("l_shipdate >= DATE '1995-06-17'"))
 
 
 @query("graph_edge_delta", _BASE_HEAD + "SELECT *, 'added' AS change FROM (SELECT * FROM head EXCEPT SELECT * FROM base) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM base EXCEPT SELECT * FROM head)")
@@ -101,15 +96,24 @@ def graph_edge_delta(spark, sf_dir):
     return graph.edge_delta(*_base_head(spark, sf_dir))
 
 
-_PS = "WITH e AS (SELECT DISTINCT l_suppkey % 60 AS src, l_partkey % 60 AS dst FROM lineitem WHERE l_orderkey % 50 = 1 AND l_suppkey % 60 <> l_partkey % 60)"
+#: Suppliers and customers with their nation and region: triangles, and hubs with thousands of neighbours.
+_PLACES = "WITH e AS (SELECT 's' || s_suppkey AS src, 'n' || s_nationkey AS dst FROM supplier UNION SELECT 's' || s_suppkey, 'r' || n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'c' || c_custkey, 'r' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"
+
+
+def _places(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("n"), "n_nationkey").alias("n"), F.concat(F.lit("r"), "n_regionkey").alias("r"))
+    out = n.select(F.col("n").alias("src"), F.col("r").alias("dst"))
+    for t, prefix, key, nation in (("supplier", "s", "s_suppkey", "s_nationkey"), ("customer", "c", "c_custkey", "c_nationkey")):
+        of = table(spark, sf_dir, t).select(F.concat(F.lit(prefix), key).alias("src"), F.col(nation).alias("n_nationkey")).join(n, "n_nationkey")
+        out = out.union(of.select("src", "n")).union(of.select("src", "r"))
+    return out
 
 
-@query("graph_clustering", _PS + """, nb AS (SELECT src AS node, dst AS nb FROM e UNION SELECT dst, src FROM e), k AS (SELECT node, count(*)::BIGINT AS k FROM nb GROUP BY 1 HAVING count(*) >= 2),
-l AS (SELECT x.node, count(*)::BIGINT AS links FROM nb x JOIN nb y ON x.node = y.node JOIN e ON e.src = x.nb AND e.dst = y.nb GROUP BY 1)
+@query("graph_clustering", _PLACES + """, nb AS (SELECT src AS node, dst AS nb FROM e UNION SELECT dst, src FROM e), k AS (SELECT node, count(*)::BIGINT AS k FROM nb GROUP BY 1 HAVING count(*) >= 2),
+l AS (SELECT x.node, count(*)::BIGINT AS links FROM nb x JOIN e ON e.src = x.nb JOIN nb y ON x.node = y.node AND e.dst = y.nb GROUP BY 1)
 SELECT k.node, k, coalesce(links, 0) AS links, round(coalesce(links, 0) / (k * (k - 1)), 6) AS coefficient FROM k LEFT JOIN l ON k.node = l.node""")
 def graph_clustering(spark, sf_dir):
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1").select((F.col("l_suppkey") % 60).alias("src"), (F.col("l_partkey") % 60).alias("dst"))
-    return graph.clustering(e).withColumn("coefficient", F.round("coefficient", 6))
+    return graph.clustering(_places(spark, sf_dir)).withColumn("coefficient", F.round("coefficient", 6))
 
 
 @query("graph_shortest", """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst, 1 + n_nationkey % 4 AS cost FROM nation
@@ -125,15 +129,17 @@ def graph_shortest(spark, sf_dir):
     return graph.shortest(e, F.lit("r1")).select("node", "cost")
 
 
-@query("graph_taint", """WITH RECURSIVE c AS (SELECT DISTINCT 'f' || (l_suppkey % 50) AS caller, 'f' || (l_partkey % 50) AS callee, l_linenumber % 2 AS la, (l_linenumber + l_orderkey) % 2 AS lb FROM lineitem WHERE l_orderkey % 200 = 1),
-f(s, function, label) AS (SELECT 'f' || i, 'f' || i, 0 FROM range(0, 10) r(i) UNION SELECT f.s, c.callee, c.lb FROM f JOIN c ON f.function = c.caller AND f.label = c.la)
-SELECT s AS seed_function, function, label::INT AS label FROM f WHERE right(function, 1) = '7'""")
+@query("graph_taint", """WITH RECURSIVE c AS (SELECT 's' || s_suppkey AS caller, 'n' || s_nationkey AS callee, s_suppkey % 2 AS la, s_nationkey % 2 AS lb FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_nationkey % 2, n_regionkey % 2 FROM nation
+ UNION SELECT 'r' || r_regionkey, 'n' || (r_regionkey * 5 + 1), r_regionkey % 2, (r_regionkey + 1) % 2 FROM region),
+f(s, function, label) AS (SELECT 's' || s_suppkey, 's' || s_suppkey, 0 FROM supplier UNION SELECT f.s, c.callee, c.lb FROM f JOIN c ON f.function = c.caller AND f.label = c.la)
+SELECT s AS seed_function, function, label::INT AS label FROM f WHERE function LIKE 'r%'""")
 def graph_taint(spark, sf_dir):
-    fn = lambda c: F.concat(F.lit("f"), F.col(c) % 50)
-    calls = table(spark, sf_dir, "lineitem").where("l_orderkey % 200 = 1").select(fn("l_suppkey").alias("caller"), fn("l_partkey").alias("callee"), (F.col("l_linenumber") % 2).cast("int").alias("caller_label"), ((F.col("l_linenumber") + F.col("l_orderkey")) % 2).cast("int").alias("callee_label")).distinct()
-    seeds = spark.range(10).select(F.concat(F.lit("f"), "id").alias("function"), F.lit(0).alias("label"))
-    names = spark.range(50).where("id % 10 = 7").select(F.concat(F.lit("f"), "id").alias("function"))
-    sinks = names.select("function", F.explode(F.array(F.lit(0), F.lit(1))).alias("label"), F.lit("sink").alias("sink_label"))
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    call = lambda df, a, ka, b, kb, la, lb: df.select(F.concat(F.lit(a), ka).alias("caller"), F.concat(F.lit(b), kb).alias("callee"), (la % 2).cast("int").alias("caller_label"), (lb % 2).cast("int").alias("callee_label"))
+    k = F.col("r_regionkey")
+    calls = call(s, "s", "s_suppkey", "n", "s_nationkey", F.col("s_suppkey"), F.col("s_nationkey")).union(call(n, "n", "n_nationkey", "r", "n_regionkey", F.col("n_nationkey"), F.col("n_regionkey"))).union(call(r, "r", k, "n", k * 5 + 1, k, k + 1)).distinct()
+    seeds = s.select(F.concat(F.lit("s"), "s_suppkey").alias("function"), F.lit(0).alias("label"))
+    sinks = r.select(F.concat(F.lit("r"), k).alias("function"), F.explode(F.array(F.lit(0), F.lit(1))).alias("label"), F.lit("sink").alias("sink_label"))
     return graph.taint(calls, sinks, seeds).select("seed_function", "function", "label")
 
 
