@@ -751,7 +751,7 @@ def _endpoint_rows(path: str, text: str) -> list[tuple]:
 
     if lang == "js":
         for m in re.finditer(r"\b(\w+)\.(get|post|put|delete|patch)\s*\(\s*[\"'`]([^\"'`]+)[\"'`]\s*,\s*([^\n]*)", code):
-            middle = [a for a in re.split(r",\s*", m[4]) if re.match(r"[\w.]+(?:\([^)]*\))?$", a.strip())]
+            middle = [a for a in re.split(r",\s*", re.sub(r"\)\s*;?\s*$", "", m[4])) if re.match(r"[\w.]+(?:\([^)]*\))?$", a.strip())]
             out.append((path, m[2].upper(), m[3], (middle[-1] if middle else None), m[1], next((a for a in middle if re.search(_AUTH_WORDS, a)), None), _line(text, m.start())))
         return out
     pattern = r"@(?:\w+\.)?(get|post|put|delete|patch|route)\s*\(\s*[\"']([^\"']+)[\"']([^\n]*)" if lang == "py" else r"@(Get|Post|Put|Delete|Patch|Request)Mapping\s*(?:\(\s*(?:value\s*=\s*|path\s*=\s*)?\"([^\"]*)\"([^\n]*))?"

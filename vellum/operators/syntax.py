@@ -368,7 +368,8 @@ def _call_rows(path: str, text: str) -> list[tuple]:
     if not lang:
         return []
     code = blanked(text, lang, strings=True)
-    defined = {e.start + text[e.start : e.body or e.end].find(e.name) for e in entities(text, lang)}
+    heads = ((e.start, re.search(rf"\b{re.escape(e.name)}\b", text[e.start : max(e.body, e.start + 1)])) for e in entities(text, lang))
+    defined = {start + m.start() for start, m in heads if m}
     return [(path, m[1], m.start(1), text.count("\n", 0, m.start()) + 1) for m in re.finditer(r"([A-Za-z_$][\w$]*)\s*\(", code) if m[1] not in _CONTROL and m.start(1) not in defined]
 
 

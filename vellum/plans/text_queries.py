@@ -94,7 +94,7 @@ def doc_payloads(spark, sf_dir):
 _PHRASES_SQL = "as an ai|as a language model|i''m an ai|i am an ai|i cannot assist|i cannot help|i cannot provide|certainly! here|certainly, here|of course! here|note: as an|generated by chatgpt|generated by claude|generated by copilot|generated by gpt|this code was generated|fuck|shit|damn it|wtf|bullshit"
 
 
-@query("doc_banned_phrases", f"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '+// ' WHEN 1 THEN '+' WHEN 2 THEN '-# ' ELSE '+  # As an AI, wtf: ' END || replace(text, chr(10), chr(10) || '+ # ') AS patch FROM documents),
+@query("doc_banned_phrases", rf"""WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '+// ' WHEN 1 THEN '+' WHEN 2 THEN '-# ' ELSE '+  # As an AI, wtf: ' END || replace(text, chr(10), chr(10) || '+ # ') AS patch FROM documents),
 l AS (SELECT doc_id, unnest(string_split(patch, chr(10))) AS x, unnest(range(1, len(string_split(patch, chr(10))) + 1)) AS line FROM p),
 t AS (SELECT doc_id, line, regexp_replace(substr(x, 2), '^\s+|\s+$', '', 'g') AS t FROM l WHERE x LIKE '+%' AND NOT x LIKE '+++%')
 SELECT doc_id, line::INT AS line, lower(unnest(regexp_extract_all(t, '(?i){_PHRASES_SQL}'))) AS phrase FROM t WHERE regexp_matches(t, '^(//|#|/\*|\*|"{{3}}|''{{3}})')""")

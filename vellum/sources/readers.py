@@ -43,13 +43,13 @@ def discover_logs(spark: SparkSession, root: str, name: str = "bounce_log.ndjson
     return logs.withColumn("repo", F.regexp_extract("_metadata.file_path", rf"([^/]+)/{name}$", 1))
 
 
-def read_tree(spark: SparkSession, root: str, glob: str = "*", largest: int = scalars.FILE_BYTES, state_folder: str = ".state") -> DataFrame:
-    """Path and content of the files that scans read, one row each; a file that is too large has a row with null content, so it is not lost without a word."""
+def read_tree(spark: SparkSession, root: str, glob: str = "*", largest: int = scalars.FILE_BYTES, state_folder: str = ".state", assets: bool = False) -> DataFrame:
+    """Path and content of the files that scans read, one row each; a file that is too large, or a binary asset (unless `assets`, as for `archives`), has a row with null content, so it is not lost without a word."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     name = root.rstrip("/").rsplit("/", 1)[-1] + "/"
     below = F.expr(f"substring(path, instr(path, '{name}') + {len(name)})")  # the root's own place does not count
     kept = files.where(scanned(below, state_folder))
-    return kept.select("path", "length", F.when(scalars.scannable(F.col("path"), F.col("length")) & (F.col("length") <= largest), F.col("content")).alias("content"))
+    return kept.select("path", "length", F.when((F.lit(assets) | scalars.scannable(F.col("path"), F.lit(0))) & (F.col("length") <= largest), F.col("content")).alias("content"))
 
 
 def walk(files: DataFrame, *surfaces: str) -> DataFrame:
@@ -64,7 +64,7 @@ def _manifests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
         for path, content in zip(frame["path"], frame["content"], strict=True):
-            text, base = bytes(content).decode("utf-8", "replace"), path.rsplit("/", 1)[-1]
+            text, base = bytes(content or b"").decode("utf-8", "replace"), path.rsplit("/", 1)[-1]
             try:
                 if base == "package.json":
                     data = json.loads(text)
@@ -145,6 +145,7 @@ def _archives(frames: Iterator[pd.DataFrame], largest: int) -> Iterator[pd.DataF
 
     for frame in frames:
         for path, content in zip(frame["path"], frame["content"], strict=True):
+            content = bytes(content or b"")
             data = io.BytesIO(content)
             try:
                 if path.endswith(".map"):
