@@ -1,4 +1,4 @@
-"""Review-log analytics: derived columns, rollups, rankings (survey P1-P9, A1-A4, T1-T3, W7, J27).
+"""Review-log analytics: derived columns, rollups, rankings (survey P1-P8, P14, A1-A4, T1, T2, W2, W4, W7, J27).
 
 All functions take and return DataFrames of the ``LOG`` columns they name; ``seq``
 is the order of the log (append order), which breaks every tie.
@@ -143,6 +143,19 @@ def clean_authors(log: DataFrame, top: int = 10) -> DataFrame:
     return clean.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
+def repo_lists(log: DataFrame, top: int = 10) -> DataFrame:
+    """A3: for each repository its worst changes (pr_number) and its cleanest authors, in order, `top` at most."""
+    worst = top_per_repo(log, top).groupBy("repo_slug").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "pr_number"))), lambda s: s["pr_number"]).alias("top"))
+    clean = clean_authors(log, top).groupBy("repo_slug").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "author"))), lambda s: s["author"]).alias("clean"))
+    return worst.join(clean, "repo_slug")
+
+
+def rolling(samples: DataFrame, value: str, order: list[str], *by: str, ring: int = 16) -> DataFrame:
+    """The mean of the last `ring` samples of each key, and the change since the one before."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return samples.withColumns({"mean": F.avg(value).over(w.rowsBetween(1 - ring, 0)), "velocity": F.col(value) - F.lag(value).over(w)})
+
+
 def top_n(log: DataFrame, n: int) -> DataFrame:
     """Highest scores, stable in log order."""
     return log.orderBy(F.desc("slop_score"), "seq").limit(n)

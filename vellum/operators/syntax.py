@@ -103,7 +103,7 @@ KEYWORDS = frozenset(
 
 
 #: Words before brackets that define nothing.
-_CONTROL = frozenset("if for while switch return catch else do new case elif unless until with match loop sizeof throw defined function".split())
+_CONTROL = frozenset("if for while switch return catch else do new case elif unless until with match loop sizeof throw defined function func fun fn def type import var and or not in is await".split())
 
 
 @dataclass

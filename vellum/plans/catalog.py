@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import log_queries, predicate_queries, registry, relation_queries, scan_queries, symbol_queries, text_queries  # noqa: F401  (importing registers their queries)
+from . import further_queries, log_queries, predicate_queries, registry, relation_queries, scan_queries, symbol_queries, text_queries  # noqa: F401  (importing registers their queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
