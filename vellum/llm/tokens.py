@@ -61,23 +61,30 @@ def classes() -> np.ndarray:
     import regex
     from tokenizers import pre_tokenizers
 
-    every = "".join(map(chr, range(0xD800))) + "".join(map(chr, range(0xE000, 0x110000)))
     library = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
-    codes = np.frombuffer(every.encode("utf-32-le"), np.uint32)
-    guess = np.full(len(codes), OTHER, np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
-        for m in regex.finditer(pattern, every):
-            guess[m.start() : m.end()] = kind
+    patterns = [(kind, regex.compile(p)) for kind, p in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+"))]
     out = np.full(0x110000, OTHER, np.uint8)
-    for kind in (LETTER, NUMBER, SPACE, OTHER):
-        # Characters of one class make one pre-token; where the library (of another Unicode version) cuts, each run is asked about.
-        own = codes[guess == kind]
-        runs = library(own.tobytes().decode("utf-32-le"))
-        for _, (a, b) in runs:
-            out[own[a:b]] = kind if len(runs) == 1 else _class_of(chr(own[a]), library)
+    for start in range(0, 0x110000, _CODES):  # a little at a time: the library's answer is large
+        codes = np.arange(start, start + _CODES, dtype=np.uint32)
+        codes = codes[(codes < 0xD800) | (codes >= 0xE000)]
+        every = codes.tobytes().decode("utf-32-le")
+        guess = np.full(len(codes), OTHER, np.uint8)
+        for kind, pattern in patterns:
+            for m in pattern.finditer(every):
+                guess[m.start() : m.end()] = kind
+        for kind in (LETTER, NUMBER, SPACE, OTHER):
+            # Characters of one class make one pre-token; the library (of another Unicode version) is asked about each run that it makes.
+            own = codes[guess == kind]
+            runs = library(own.tobytes().decode("utf-32-le")) if len(own) else []
+            for _, (a, b) in runs:
+                out[own[a:b]] = _class_of(chr(own[a]), library)
     return out
 
 
+#: Code points that are classified at a time.
+_CODES = 0x1000
+
+
 def _class_of(c: str, library) -> int:
     for before, kind in (("a", LETTER), ("1", NUMBER), ("!", OTHER)):
         if len(library(before + c)) == 1:
