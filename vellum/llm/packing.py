@@ -52,7 +52,8 @@ END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(batches, path: str, capacity: int, end: int):
+def _pieces(batches, path: str, capacity: int, end: int, packed: bytes):
+    tokens.take(packed)
     e = tokens.encoder(path)
     part = TaskContext.get().partitionId()
     seen = np.zeros(capacity + 1, np.int64)  # this task's pieces of each length so far
@@ -179,7 +180,7 @@ def _place(batches, p: Plan, key: np.ndarray, stride: int):
 
 def pack(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, end: int = END, documents: int | None = None, cost: int | None = None, rule: str = "norm") -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(functools.partial(_pieces, path=path, capacity=capacity, end=end), f"{PIECES}, part int, nth long")
+    cut = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(functools.partial(_pieces, path=path, capacity=capacity, end=end, packed=tokens.packed_classes()), f"{PIECES}, part int, nth long")
     # Few numbers a document, written once: tokens are made once, and the numbering reads what the histogram has read.
     table = written(cut, "pieces")
     sizes = table.groupBy("part", "length").agg(F.count("*").alias("n"))

@@ -8,6 +8,7 @@ space (or, failing that, at a character boundary) and its parts are summed.
 from __future__ import annotations
 
 import ctypes
+import gc
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,7 @@ def _give_back() -> None:
 
 def each(batches, rows: int | None = None):
     """The batches, in slices of so many rows if given; what Arrow and the allocator hold back is returned before each, as workers of several stages share a machine."""
+    gc.collect()  # what tasks before have left in the worker
     _give_back()
     for batch in batches:
         step = rows or max(1, batch.num_rows)

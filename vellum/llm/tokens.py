@@ -33,6 +33,7 @@ import functools
 import json
 import os
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,27 @@ FREQUENT, LONGEST = 200_000, 64
 LEAST = 4
 
 
-@functools.cache
 def classes() -> np.ndarray:
     """Letter, number, white space or other, for each code point, as the library's pre-tokenizer sees them."""
+    if "table" not in _classes:
+        _classes["table"] = _classified()
+    return _classes["table"]
+
+
+_classes: dict[str, np.ndarray] = {}
+
+
+def packed_classes() -> bytes:
+    """The classes as a few kilobytes, for tasks to `take`, so that no worker asks the library about every code point."""
+    return zlib.compress(classes().tobytes())
+
+
+def take(packed: bytes) -> None:
+    if "table" not in _classes:
+        _classes["table"] = np.frombuffer(zlib.decompress(packed), np.uint8)
+
+
+def _classified() -> np.ndarray:
     import regex
     from tokenizers import pre_tokenizers
 
@@ -161,7 +180,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = {t["content"]: t["id"] for t in json.loads(self.tokenizer.to_str())["added_tokens"]}
+        self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._clear()
 
@@ -355,8 +374,9 @@ def _texts(batches, text: str):
         yield batch, pc.fill_null(batch.column(text).cast(pa.large_string()), "")
 
 
-def _tally(batches, path: str, text: str):
+def _tally(batches, path: str, text: str, packed: bytes):
     """How often the task's texts have each pre-token, for those that they have LEAST times and more."""
+    take(packed)
     found: dict[str, int] = {}
 
     def out():
@@ -387,7 +407,7 @@ def _encode(batches, path: str):
 
 def frequent(docs: DataFrame, path: str, text: str = "text") -> tuple[pa.Array, np.ndarray]:
     """The corpus's most frequent pre-tokens, FREQUENT at most, each encoded once: words, numbers of pieces."""
-    tally = docs.select(F.col(text).alias("t")).mapInArrow(functools.partial(_tally, path=path, text="t"), "w string, n long")
+    tally = docs.select(F.col(text).alias("t")).mapInArrow(functools.partial(_tally, path=path, text="t", packed=packed_classes()), "w string, n long")
     tally = written(tally.groupBy("w").agg(F.sum("n").alias("n")), "tally")
     steps = {r["step"]: r["n"] for r in tally.groupBy(F.floor(8 * F.log2("n")).alias("step")).agg(F.count("*").alias("n")).collect()}  # 8 for each doubling
     least, room = max(steps, default=0) + 1, FREQUENT
@@ -400,8 +420,9 @@ def frequent(docs: DataFrame, path: str, text: str = "text") -> tuple[pa.Array,
     return known["w"].combine_chunks(), np.asarray(known["pieces"], np.int64)
 
 
-def _sums(batches, path: str, text: str, names: list[str], between: list[str], words: pa.Array, pieces: np.ndarray):
+def _sums(batches, path: str, text: str, names: list[str], between: list[str], words: pa.Array, pieces: np.ndarray, packed: bytes):
     """Rows with a number of their own: bytes, tokens of frequent pre-tokens, and the others with their frequencies."""
+    take(packed)
     row = TaskContext.get().partitionId() << 40
     for batch, column in _texts(batches, text):
         known, rest = np.zeros(len(column), np.int64), []
@@ -454,7 +475,7 @@ def count(docs: DataFrame, path: str, text: str = "text", limit: int = 1024, dro
     words, pieces = frequent(docs, path, text)
     row, size, known, others = between = [prefix(docs) + c for c in ("row", "bytes", "known", "others")]
     rest = T.ArrayType(T.StructType([T.StructField("w", T.StringType()), long("n")]))
-    make = functools.partial(_sums, path=path, text=text, names=names, between=between, words=words, pieces=pieces)
+    make = functools.partial(_sums, path=path, text=text, names=names, between=between, words=words, pieces=pieces, packed=packed_classes())
     table = written(docs.mapInArrow(make, T.StructType([*kept, long(row), long(size), long(known), T.StructField(others, rest)])), "frequencies")
     sent = table.select(F.col(row).alias("row"), F.explode(others).alias("e")).select("row", "e.w", "e.n").repartition("w").sortWithinPartitions("w")
     tokens = sent.mapInArrow(functools.partial(_pieces_of_others, path=path), "row long, tokens long").groupBy(F.col("row").alias(row)).agg(F.sum("tokens").alias(others))
