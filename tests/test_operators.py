@@ -353,6 +353,41 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [(x.path, bytes(x.content)) for x in readers.archives(tree.where("path like '%.whl'")).collect()] == [("in.txt", b"hello")]
 
 
+def test_tools(spark, tmp_path, capsys):
+    from vellum import tools
+
+    (tmp_path / "a.py").write_text("import left\ndef f(x):\n    return eval(x)\n\ndef g(y):\n    return eval(y)  # nosec\n\nf(1)\n")
+    (tmp_path / "requirements.txt").write_text("left==1\nright==2\n")
+    (tmp_path / "n.md").write_text("# ssrf in go\nhttps://example.org/x\n")
+    root = str(tmp_path)
+    assert {(x.id, x.line) for x in tools.scan(spark, root).collect()} == {("security:dynamic_eval", 3), ("security:eval_injection", 3)}
+    assert [(x.n, x.first_name) for x in tools.dedup(spark, root).collect()] == [(2, "f")]
+    assert [x.qualified_name for x in tools.clean(spark, root).collect()] == ["g"] and [x.name for x in tools.dep_check(spark, root).collect()] == ["right"]
+    assert [(x.tags, x.languages) for x in tools.ledger(spark, root).collect()] == [(["ssrf"], ["go"])]
+    tools.main(["list"])
+    assert "scan" in capsys.readouterr().out.split()
+
+
+def test_feeds_and_schemas(spark, tmp_path):
+    (tmp_path / "kev.json").write_text(json.dumps({"vulnerabilities": [{"cveID": "CVE-1", "vendorProject": "Acme", "product": "Box", "dateAdded": "2024-01-01"}]}))
+    assert [tuple(x) for x in readers.kev_feed(spark, f"{tmp_path}/kev.json").collect()] == [("CVE-1", "acme", "box", "2024-01-01")]
+    c = lambda *x: spark.createDataFrame([(p, bytearray(t.encode())) for p, t in x], "path string, content binary")
+    osv = c(("a", json.dumps({"id": "MAL-1", "affected": [{"package": {"name": "evil", "ecosystem": "PyPI"}}]})), ("b", json.dumps({"id": "GHSA-1", "affected": [{"package": {"name": "good", "ecosystem": "PyPI"}}]})), ("c", "{"))
+    assert [tuple(x) for x in readers.osv_malicious(osv).collect()] == [("pypi", "evil")]
+    yaml = "openapi: 3.0.0\npaths:\n  /a/{id}:\n    get:\n      x: 1\n    post:\n      x: 1\n  /b:\n    delete:\n      x: 1\n"
+    schemas = c(("s.proto", "service S {\n rpc Get (A) returns (B);\n rpc Put (A) returns (B) { option x = 1; }\n}"), ("o.yaml", yaml), ("a.json", '{"asyncapi": "2", "channels": {"q": {"publish": {}}}}'), ("g.graphql", "type Query {\n  user(id: ID): User\n}\ntype User {\n id: ID\n}"), ("m.fga", "type doc\n  relations\n    define viewer: [user] or owner\n"))
+    assert {(x.protocol, x.method, x.route) for x in readers.api_schemas(schemas).collect()} == {("grpc", "RPC", "/S/Get"), ("grpc", "RPC", "/S/Put"), ("http", "GET", "/a/{id}"), ("http", "POST", "/a/{id}"), ("http", "DELETE", "/b"), ("async", "PUBLISH", "q"), ("graphql", "QUERY", "user"), ("openfga", "RELATION", "[user] or owner")}
+    nodes, links = readers.mesh(c(("x/docker-compose.yml", "services:\n  web:\n    image: a\n    depends_on:\n      - db\n      - cache\n  db:\n    image: b\n  cache:\n    depends_on: [db]\nvolumes:\n  v:\n")))
+    assert {x.service for x in nodes.collect()} == {"web", "db", "cache"} and {(x.src, x.dst) for x in links.collect()} == {("web", "db"), ("web", "cache"), ("cache", "db")}
+    sh = c(("x/setup.sh", "apt-get install -y curl=7 git\n"), ("spin.toml", '[[component]]\nid = "a"\n'), ("w.sh", "echo"))
+    assert {(x.name, x.version, x.ecosystem) for x in readers.manifests(sh).collect()} == {("curl", "7", "apt"), ("git", "*", "apt"), ("a", "*", "spin")}
+    source_map = c(("b.js.map", json.dumps({"sources": ["a.ts", "n.ts"], "sourcesContent": ["x", None]})))
+    assert [(x.path, x.content and bytes(x.content)) for x in readers.archives(source_map).collect()] == [("a.ts", b"x"), ("n.ts", None)]
+    assert readers.ci_metadata({"GITLAB_CI": "1", "CI_COMMIT_SHA": "abc"}) == {"provider": "gitlab", "commit_sha": "abc", "ref": None} and readers.ci_metadata({})["provider"] is None
+    words = spark.createDataFrame([('{"a": "x\\u0041 y", "b": [1, {"c": "z"}]} {"d": "w"}',), ("{bad",)], "value string")
+    assert {x.leaf for x in readers.json_leaves(words).collect()} == {"xA y", "z", "w"}
+
+
 def test_streams(spark, tmp_path):
     rows_ = [(i, dt.datetime(2026, 1, 1, i % 3, 5), "ab"[i % 2]) for i in range(12)]
     spark.createDataFrame(rows_, "id long, ts timestamp, kind string").write.parquet(f"{tmp_path}/events.parquet")
