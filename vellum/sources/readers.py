@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,18 +106,19 @@ def manifests(files: DataFrame) -> DataFrame:
     return named.mapInPandas(_manifests, "path string, name string, version string, ecosystem string, dev boolean")
 
 
-def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _leaves(batches):
     """Every string leaf of JSON values that follow one another in a line."""
     decoder = json.JSONDecoder()
-    for frame in frames:
+    for batch in batches:
         out = []
-        for line in frame["value"]:
-            at = 0
+        for line in batch.column("value").to_pylist():
+            at, line = 0, (line or "").strip()
             while at < len(line):
                 try:
-                    value, at = decoder.raw_decode(line, at + len(line[at:]) - len(line[at:].lstrip()))
+                    value, at = decoder.raw_decode(line, at)
                 except ValueError:
                     break
+                at += len(line[at:]) - len(line[at:].lstrip())
                 todo = [value]
                 while todo:
                     v = todo.pop()
@@ -124,12 +126,12 @@ def _leaves(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         out.append(v)
                     elif isinstance(v, (list, dict)):
                         todo.extend(v.values() if isinstance(v, dict) else v)
-        yield pd.DataFrame({"leaf": out})
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["leaf"])
 
 
 def json_leaves(lines: DataFrame) -> DataFrame:
     """The string leaves of JSON lines (column value), escapes decoded; what does not parse gives none."""
-    return lines.select("value").mapInPandas(_leaves, "leaf string")
+    return lines.select("value").mapInArrow(_leaves, "leaf string")
 
 
 def otlp_words(spark: SparkSession, path: str) -> DataFrame:
