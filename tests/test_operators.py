@@ -383,6 +383,7 @@ def test_feeds_and_schemas(spark, tmp_path):
     assert {(x.name, x.version, x.ecosystem) for x in readers.manifests(sh).collect()} == {("curl", "7", "apt"), ("git", "*", "apt"), ("a", "*", "spin")}
     source_map = c(("b.js.map", json.dumps({"sources": ["a.ts", "n.ts"], "sourcesContent": ["x", None]})))
     assert [(x.path, x.content and bytes(x.content)) for x in readers.archives(source_map).collect()] == [("a.ts", b"x"), ("n.ts", None)]
+    assert [x.path for x in readers.by_priority(c(("b.md", ""), ("a.txt", ""), ("z.rs", ""), ("y.py", ""))).collect()] == ["y.py", "z.rs", "a.txt", "b.md"]
     assert readers.ci_metadata({"GITLAB_CI": "1", "CI_COMMIT_SHA": "abc"}) == {"provider": "gitlab", "commit_sha": "abc", "ref": None} and readers.ci_metadata({})["provider"] is None
     words = spark.createDataFrame([('{"a": "x\\u0041 y", "b": [1, {"c": "z"}]} {"d": "w"}',), ("{bad",)], "value string")
     assert {x.leaf for x in readers.json_leaves(words).collect()} == {"xA y", "z", "w"}

@@ -1,4 +1,4 @@
-"""Sources (survey S1-S5, S11, S14, S15, S17-S20, S24, F6, X13)."""
+"""Sources (survey S1-S5, S11, S14, S15, S17-S20, S24, F6, T4, X13)."""
 
 from __future__ import annotations
 
@@ -61,6 +61,15 @@ def walk(files: DataFrame, *surfaces: str) -> DataFrame:
 _APT = re.compile(r"\bapt(?:-get)?\s+(?:-\S+\s+)*install\s+((?:[^\n;&|\\\\]|\\\\\n)+)")
 
 
+# Extensions that are scanned first.
+FIRST_SCANNED = ("rs", "py", "go", "js", "ts", "tsx", "jsx", "cs", "java", "cpp", "cc", "cxx", "c")
+
+
+def by_priority(files: DataFrame) -> DataFrame:
+    """T4: files in the order in which they are scanned: source code first, then by path."""
+    return files.orderBy(~F.regexp_extract("path", r"\.([^./]+)$", 1).isin(*FIRST_SCANNED), "path")
+
+
 def _manifests(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
