@@ -224,10 +224,16 @@ def _state(edges: DataFrame):
 def classes(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3, bits: int = 2) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     prints = written(fingerprints(docs, text, key, shingle), "fingerprints")
-    distinct = written(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    found = components(links(distinct, bits))
-    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "distinct")
+    found = components(links(distinct.where("rep IS NOT NULL").select("fp", "rep"), bits))
+    named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id"))
+    named = written(named, "named")
+    # Fingerprints of a thousandth of all rows or more (that of empty texts may be one) are a thousand at most: they are
+    # broadcast, so their rows stay where they are; the rows of others are joined by fingerprint.
+    rows = distinct.agg(F.sum("n")).first()[0] or 0
+    often = named.where(F.col("n") >= max(2, -(-rows // 1000))).drop("n").hint("broadcast")
+    seldom = prints.join(often.select("fp"), "fp", "left_anti").join(named.drop("n"), "fp")
+    return prints.join(often, "fp").unionByName(seldom).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp):
