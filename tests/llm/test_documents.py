@@ -396,7 +396,7 @@ def test_copies_across_window_cuts(monkeypatch):
     windows = decontam.K.windows
     monkeypatch.setattr(decontam.K, "windows", lambda array, limit=0: windows(array, 4096))
     for lead in (0, 1, 300, 511, 700):
-        changed = [w if k % 3 else f"x{k}" for k, w in enumerate(item)]
+        changed = [w if k % 4 else f"x{k}" for k, w in enumerate(item)]
         texts = [" ".join(["lorem"] * lead + body + ["ipsum"] * 900) for body in (item, changed)]
         batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(texts)], names=["doc_id", "t"])
         (got,) = decontam._match([batch], ix, 0.3)
