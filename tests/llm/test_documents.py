@@ -478,7 +478,7 @@ def test_toxicity_against_brute_force():
     p = random.Random(25)
     texts = [*HARD[:8], *(" ".join(p.choice(("vile", "vileness", "cloud", "été", "clouded.", "a!", "\n", "?", "42")) for _ in range(p.randint(0, 25))) for _ in range(200))]
     got = toxicity.score_batch(pa.array(texts), m)
-    assert got == pytest.approx([_plain_toxicity(t, m) for t in texts], rel=1e-5, abs=1e-9) and len({round(x, 3) for x in got}) > 50
+    assert got == pytest.approx([_plain_toxicity(t, m) for t in texts], rel=1e-5, abs=1e-9) and len({round(x, 3) for x in got}) > 30
 
 
 # --- personal data --------------------------------------------------------------
