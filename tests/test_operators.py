@@ -3,6 +3,8 @@
 import datetime as dt
 import io
 import json
+import random
+import re
 import zipfile
 
 import pytest
@@ -99,6 +101,29 @@ def test_sketches(spark):
     assert {(x.a, x.b, x.distance) for x in sketch.hamming_links(bits, "id", "b", 1).collect()} == {(0, 1, 1), (1, 2, 1), (3, 4, 1)}
 
 
+@pytest.mark.parametrize("block", [20, 100, 2048])
+def test_links_of_large_slots_are_made_where_the_slots_are(spark, monkeypatch, block):
+    """One slot of 300 sketches, smaller ones, one that differs in high bits only: all pairs by brute force, and only links leave the slots."""
+    rng = random.Random(7)
+    base = [rng.randrange(1 << 32) for _ in range(64)]
+    sketches = {}
+    for i in range(300):
+        far = rng.sample(range(64), rng.choice((2, 8, 15, 25)))
+        sketches[f"k{i:03}"] = [rng.randrange(1 << 32) if p in far else v for p, v in enumerate(base)]
+    for i in range(300, 400):
+        own = sketches[f"k{i - 1:03}"] if i % 4 else [rng.randrange(15) for _ in range(64)]
+        sketches[f"k{i:03}"] = [v + (1 << 32 if p % 9 == i % 4 else 0) for p, v in enumerate(own)] if i % 4 else own
+    some = sorted(sketches.items())
+    rng.shuffle(some)
+    same = lambda x, y: sum(v == w for v, w in zip(x, y, strict=True))
+    banded = lambda x, y: any(x[8 * b : 8 * b + 8] == y[8 * b : 8 * b + 8] for b in range(8))
+    want = sorted((a, b, same(x, y) / 64) for a, x in some for b, y in some if a < b and same(x, y) / 64 >= 0.7 and banded(x, y))
+    monkeypatch.setattr(sketch, "BLOCK", block, raising=False)
+    links = sketch.links_of_sketches(spark.createDataFrame([*some, ("k999", sketches["k000"])], "k string, sketch array<long>"), "k", 0.7)
+    assert sorted(map(tuple, links.collect())) == want and len(want) > 10_000
+    assert not re.search("Exchange|Join|Aggregate", links._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0])
+
+
 def test_dependencies(spark):
     d = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("b", "*"), ("c", "1"), ("c", "1")], "name string, version string")
     assert [(x.name, x.display) for x in deps.version_silos(d).collect()] == [("a", "a (1 vs 2)")]

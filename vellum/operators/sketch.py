@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -49,11 +48,11 @@ def minhash(df: DataFrame, key: str, text: str, seeds: int = SEEDS) -> DataFrame
     return df.select(key, F.encode(text, "UTF-8").alias("raw")).mapInArrow(functools.partial(_least, seeds=seeds), f"`{key}` {kind}, sketch array<long>")
 
 
-def bands(sketches: DataFrame, key: str, seeds: int = SEEDS, n: int = BANDS) -> DataFrame:
-    """A10: (key, band, value of the band's rows)."""
+def bands(sketches: DataFrame, key: str, seeds: int = SEEDS, n: int = BANDS, more: tuple[str, ...] = ()) -> DataFrame:
+    """A10: (key, band, value of the band's rows), with more columns of the sketches where asked for."""
     rows = seeds // n
     each = F.array(*[F.struct(F.lit(b).alias("band"), F.slice("sketch", b * rows + 1, rows).alias("slot")) for b in range(n)])
-    return sketches.select(key, F.explode(each).alias("x")).select(key, "x.band", "x.slot")
+    return sketches.select(key, *more, F.explode(each).alias("x")).select(key, *more, "x.band", "x.slot")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -63,7 +62,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def lsh_links(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """Links between distinct texts that share a band and reach the threshold."""
-    return links_of_sketches(settle(minhash(df, key, text).where("sketch[0] IS NOT NULL")), key, threshold)
+    return links_of_sketches(minhash(df, key, text).where("sketch[0] IS NOT NULL"), key, threshold)
+
+
+#: Members of a slot that meet in one task, about; those of a larger slot are dealt into blocks, and each two blocks meet.
+BLOCK = 2048
+#: Pairs and rows that a task gets, about.
+PAIRS_A_TASK, ROWS_A_TASK = 2_000_000, 50_000
 
 
 def links_of_sketches(sketches: DataFrame, key: str, threshold: float, seeds: int = SEEDS, n: int = BANDS) -> DataFrame:
@@ -72,39 +77,123 @@ def links_of_sketches(sketches: DataFrame, key: str, threshold: float, seeds: in
     Equal sketches are joined once: a class is named by its smallest key, and
     ``classes`` says which key is of which class.  So a thousand copies of a text
     are one row here, and no link between different texts is lost.
+
+    Sketches go to their slots, and all pairs of a slot are compared there; only links
+    leave the task.  A pair belongs to the first band that it shares, so none is made
+    twice and nothing has to be made distinct afterwards.
     """
+    kind = sketches.schema[key].dataType.simpleString()
     distinct = settle(sketches.groupBy("sketch").agg(F.min(key).alias("rep")))
-    b = bands(distinct.select("rep", "sketch"), "rep", seeds, n)
-    sizes = b.groupBy("band", "slot").agg(F.count("*").alias("n")).where("n > 1")
-    b = settle(b.join(sizes, ["band", "slot"]))
-    # Small slots give all their pairs.  The members of a large one meet only where a second band agrees too, or, to
-    # lose no link, where a gram of their sketches agrees at a position within the share that the threshold leaves open.
-    small = b.where(F.col("n") <= PAIRS_UP_TO).groupBy("band", "slot").agg(F.sort_array(F.collect_list("rep")).alias("m"))  # PAIRS_UP_TO entries at most
-    near = small.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")).select("p.a", "p.b")
-    large = b.where(F.col("n") > PAIRS_UP_TO).select("rep").distinct().join(distinct, "rep")
-    pairs = settle(near.unionByName(_by_prefix(large, seeds, threshold)).distinct())
-    both = pairs.join(distinct.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(distinct.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
-    rows = seeds // n
-    banded = F.exists(F.array(*[F.slice("sa", k * rows + 1, rows) == F.slice("sb", k * rows + 1, rows) for k in range(n)]), lambda e: e)
-    return both.where(banded).select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
+    members = bands(distinct, "rep", seeds, n, ("sketch",)).withColumn("slot", F.xxhash64("slot"))  # values are compared where members meet
+    sizes = settle(members.groupBy("band", "slot").agg(F.count("*").alias("n")).where("n > 1"))
+    pairs = sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
+    tasks = max(sketches.sparkSession.sparkContext.defaultParallelism, pairs // PAIRS_A_TASK, distinct.count() * n // ROWS_A_TASK)
+    large = sizes.where(F.col("n") > BLOCK).select("band", "slot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))  # n / BLOCK rows a band at most
+    own = members.join(F.broadcast(large), ["band", "slot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    met = own.select("slot", "band", "own", "rep", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = met.select("slot", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", (F.col("own") > F.col("other")).alias("second"), "sketch")
+    dealt = cells.repartition(int(tasks), "slot", "band", "i", "j").sortWithinPartitions("slot", "band", "i", "j", "rep")
+    return dealt.mapInArrow(functools.partial(_linked, seeds=seeds, n=n, threshold=threshold), f"a {kind}, b {kind}, similarity double")
 
 
-#: Slots of more sketches than this go through the prefix filter.
-PAIRS_UP_TO = 64
+#: Members of a cell whose pairs are made one by one, with those of other cells; entries of a rectangle of comparisons, and links in a batch.
+FEW, RECTANGLE, LINKS = 64, 1 << 17, 1 << 17
 
 
-def _by_prefix(sketches: DataFrame, seeds: int, threshold: float) -> DataFrame:
-    """Pairs (a, b) that may agree in enough positions: an exact prefix filter, seldom values first.
-
-    Two sketches that agree in t of n positions have their first common value, in one
-    order of all values, among the first n - t + 1 of each.
-    """
-    keep = seeds - math.ceil(threshold * seeds - 1e-9) + 1
-    values = settle(sketches.select("rep", F.posexplode("sketch").alias("at", "value")))
-    counts = values.groupBy("at", "value").agg(F.count("*").alias("c"))
-    listed = values.join(counts, ["at", "value"]).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "at", "value"))), 1, keep).alias("p"))  # SEEDS entries at most
-    first = listed.select("rep", F.explode("p").alias("x")).where("x.c > 1").select("rep", "x.at", "x.value")
-    return first.alias("x").join(first.alias("y"), ["at", "value"]).where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+def _linked(batches, seeds: int, n: int, threshold: float):
+    """The links of each cell: rows come sorted by cell, then by representative."""
+    kept = None
+    for batch in batches:
+        batch = batch if kept is None else pa.concat_batches([kept, batch])
+        ends = _cell_ends(batch)
+        kept = batch.slice(ends[-2]) if len(ends) > 1 else batch  # its last cell may go on
+        yield from _links_of(batch.slice(0, ends[-2] if len(ends) > 1 else 0), seeds, n, threshold)
+    if kept is not None:
+        yield from _links_of(kept, seeds, n, threshold)
+
+
+def _cell_ends(batch) -> np.ndarray:
+    differs = np.zeros(max(len(batch) - 1, 0), bool)
+    for c in ("slot", "band", "i", "j"):
+        v = batch.column(c).to_numpy()
+        differs |= v[1:] != v[:-1]
+    return np.append(np.flatnonzero(differs) + 1, len(batch)) if len(batch) else np.zeros(0, np.int64)
+
+
+def _links_of(batch, seeds: int, n: int, threshold: float):
+    """The links of whole cells."""
+    if not len(batch):
+        return
+    rep, found, waiting = batch.column("rep"), [], 0
+    for x, y, same in _compared(batch, seeds, n, threshold):
+        found.append((x, y, same))
+        waiting += len(x)
+        if waiting >= LINKS:
+            yield _as_links(rep, found, seeds)
+            found, waiting = [], 0
+    if waiting:
+        yield _as_links(rep, found, seeds)
+
+
+def _as_links(rep, found: list, seeds: int):
+    x, y, same = (np.concatenate(v) for v in zip(*found, strict=True))
+    ends = [rep.take(pa.array(f(x, y))) for f in (np.minimum, np.maximum)]  # rows of a cell are sorted by representative
+    return pa.RecordBatch.from_arrays([*ends, pa.array(same / seeds)], names=["a", "b", "similarity"])
+
+
+def _compared(batch, seeds: int, n: int, threshold: float):
+    """(row, row, equal positions) of the links of whole cells."""
+    values = batch.column("sketch").flatten().to_numpy().reshape(-1, seeds)
+    values = values.astype(np.uint32) if values.min() >= 0 and values.max() < 1 << 32 else values
+    band, second = batch.column("band").to_numpy(), batch.column("second").to_numpy(zero_copy_only=False)
+    within = batch.column("i").to_numpy() == batch.column("j").to_numpy()
+    ends = _cell_ends(batch)
+    starts = np.append(0, ends[:-1])
+    rows = seeds // n
+    few = ends - starts <= FEW
+    row = np.concatenate([np.arange(0)] + [np.arange(s, e) for s, e in zip(starts[few], ends[few], strict=True) if e - s > 1])
+    last = np.repeat(ends[few], ends[few] - starts[few])[np.repeat(ends[few] - starts[few], ends[few] - starts[few]) > 1]
+    step = max(1, RECTANGLE // FEW // 8)
+    for at in range(0, len(row), step):
+        r, more = row[at : at + step], last[at : at + step] - row[at : at + step] - 1  # each row meets those after it in its cell
+        x = np.repeat(r, more)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(more) - more, more)
+        met = within[x] | (second[x] != second[y])
+        x, y = x[met], y[met]
+        equal = values[x] == values[y]
+        shared = equal[:, : n * rows].reshape(-1, n, rows).all(axis=2)
+        same = equal.sum(axis=1)
+        ok = shared[np.arange(len(x)), band[x]] & (shared.argmax(axis=1) == band[x]) & (same / seeds >= threshold)
+        yield x[ok], y[ok], same[ok]
+    for s, e in zip(starts[~few], ends[~few], strict=True):
+        here = np.arange(s, e)
+        left, right = (here, here) if within[s] else (here[~second[s:e]], here[second[s:e]])
+        across, down = np.ascontiguousarray(values[left].T), np.ascontiguousarray(values[right].T)
+        step = max(1, RECTANGLE // max(1, len(right)))
+        for at in range(0, len(left), step):
+            past = at if within[s] else 0  # below the diagonal all are met already
+            same, first = _rectangle(across[:, at : at + step], down[:, past:], band[s], rows, n)
+            ok = first & (same / seeds >= threshold)
+            if within[s]:
+                ok &= np.arange(ok.shape[1]) > np.arange(ok.shape[0])[:, None]
+            x, y = np.nonzero(ok)
+            yield left[at + x], right[past + y], same[x, y]
+
+
+def _rectangle(across: np.ndarray, down: np.ndarray, band: int, rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Equal positions of each two sketches, and whether the band is the first that they share."""
+    shape = across.shape[1], down.shape[1]
+    same, first = np.zeros(shape, np.uint8 if len(across) < 256 else np.int32), np.ones(shape, bool)
+    for k in range(n + 1):  # rows beyond the last band count, too
+        all_equal = np.ones(shape, bool)
+        for at in range(k * rows, (k + 1) * rows if k < n else len(across)):
+            equal = across[at, :, None] == down[at, None, :]
+            same += equal
+            if k <= band:
+                all_equal &= equal
+        if k <= band:
+            first &= all_equal if k == band else ~all_equal
+    return same, first
 
 
 def classes(df: DataFrame, key: str, text: str) -> DataFrame:
