@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import mmap
 
 import numpy as np
 import pyarrow as pa
@@ -23,23 +24,51 @@ def _lines(seeds: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.uint64(1103515245) * i) % np.uint64(2147483647), np.uint64(12345) * i
 
 
-def _least(batches, seeds: int):
-    """Sketches made where the text is: for each seed the least value of its distinct 3-byte grams (1-byte grams under 3 bytes)."""
+#: Bytes of a text whose grams are listed at once, and rows whose sketches are made at once.
+_PIECE, _ROWS = 1 << 20, 500
+
+
+@functools.cache
+def _known() -> tuple[np.ndarray, np.ndarray]:
+    """Digests of 3-byte grams, filled in as a worker meets them, and which are filled in."""
+    pages = lambda n: mmap.mmap(-1, n, flags=mmap.MAP_PRIVATE | mmap.MAP_ANONYMOUS)  # noqa: E731  only those that are touched take memory; numpy asks for huge ones
+    return np.frombuffer(pages(4 << 24), np.uint32), np.frombuffer(pages(1 << 24), bool)
+
+
+def _digests(raw) -> np.ndarray:
+    """Digests of the distinct 3-byte grams of a text (1-byte grams under 3 bytes)."""
     import hashlib
 
+    digest = lambda g: int.from_bytes(hashlib.md5(g.hex().upper().encode()).digest()[:4])
+    if len(raw) < 3:
+        return np.array([digest(bytes([c])) for c in set(bytes(raw))], np.uint64)
+    grams = np.zeros(0, np.uint32)
+    for at in range(0, len(raw) - 2, _PIECE):
+        v = np.frombuffer(raw, np.uint8, min(_PIECE + 2, len(raw) - at), at).astype(np.uint32)
+        grams = np.union1d(grams, v[:-2] << 16 | v[1:-1] << 8 | v[2:]) if at else np.unique(v[:-2] << 16 | v[1:-1] << 8 | v[2:])
+    digests, known = _known()
+    new = grams[~known[grams]]
+    if len(new):
+        digests[new] = [digest(int(g).to_bytes(3)) for g in new]
+        known[new] = True
+    return digests[grams].astype(np.uint64)
+
+
+def _least(batches, seeds: int):
+    """Sketches made where the text is: for each seed the least value of its distinct grams; a few rows at a time, as long texts and sketches take memory."""
     a, b = _lines(seeds)
-    for batch in batches:
-        out = []
-        for v in batch.column(1).cast(pa.large_binary()):
-            raw = v.as_buffer().to_pybytes() if v.is_valid else b""
-            n = 3 if len(raw) >= 3 else 1
-            digests = b"".join(hashlib.md5(g.hex().upper().encode()).digest()[:4] for g in {raw[i : i + n] for i in range(len(raw) - n + 1)})
-            h = np.frombuffer(digests, ">u4").astype(np.uint64)
-            least = np.full(seeds, np.iinfo(np.uint64).max)
-            for at in range(0, len(h), 4096):
-                least = np.minimum(least, ((h[at : at + 4096, None] * a + b) % np.uint64(_PRIME)).min(axis=0))
-            out.append(least.astype(np.int64).tolist() if len(h) else [None] * seeds)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=[batch.schema.names[0], "sketch"])
+    for batch in (part.slice(at, _ROWS) for part in batches for at in range(0, len(part), _ROWS)):
+        least = np.full((len(batch), seeds), np.iinfo(np.int64).max, np.uint64)
+        none = np.zeros(len(batch), bool)
+        for i, v in enumerate(batch.column(1).cast(pa.large_binary())):
+            h = _digests(v.as_buffer() if v.is_valid else b"")
+            none[i] = not len(h)
+            for at in range(0, len(h), 512):
+                np.minimum(least[i], ((h[at : at + 512, None] * a + b) % np.uint64(_PRIME)).min(axis=0), out=least[i])
+        values = pa.array(least.astype(np.int64).ravel(), mask=np.repeat(none, seeds))
+        lists = pa.ListArray.from_arrays(np.arange(len(batch) + 1, dtype=np.int32) * seeds, values)
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[batch.schema.names[0], "sketch"])
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def minhash(df: DataFrame, key: str, text: str, seeds: int = SEEDS) -> DataFrame:
@@ -68,7 +97,7 @@ def lsh_links(df: DataFrame, key: str, text: str, threshold: float) -> DataFrame
 #: Members of a slot that meet in one task, about; those of a larger slot are dealt into blocks, and each two blocks meet.
 BLOCK = 2048
 #: Pairs and rows that a task gets, about.
-PAIRS_A_TASK, ROWS_A_TASK = 2_000_000, 50_000
+PAIRS_A_TASK, ROWS_A_TASK = 12_000_000, 50_000
 
 
 def links_of_sketches(sketches: DataFrame, key: str, threshold: float, seeds: int = SEEDS, n: int = BANDS) -> DataFrame:
@@ -84,20 +113,21 @@ def links_of_sketches(sketches: DataFrame, key: str, threshold: float, seeds: in
     """
     kind = sketches.schema[key].dataType.simpleString()
     distinct = settle(sketches.groupBy("sketch").agg(F.min(key).alias("rep")))
-    members = bands(distinct, "rep", seeds, n, ("sketch",)).withColumn("slot", F.xxhash64("slot"))  # values are compared where members meet
-    sizes = settle(members.groupBy("band", "slot").agg(F.count("*").alias("n")).where("n > 1"))
+    slotted = lambda df: bands(df, "rep", seeds, n, ("sketch",)).withColumn("slot", F.xxhash64("slot"))  # noqa: E731  values are compared where members meet
+    sizes = settle(slotted(distinct).groupBy("band", "slot").agg(F.count("*").alias("n")).where("n > 1"))
     pairs = sizes.agg(F.sum(F.expr("n * (n - 1) div 2"))).first()[0] or 0
-    tasks = max(sketches.sparkSession.sparkContext.defaultParallelism, pairs // PAIRS_A_TASK, distinct.count() * n // ROWS_A_TASK)
+    tasks = max(sketches.sparkSession.sparkContext.defaultParallelism, distinct.count() * n // ROWS_A_TASK)
+    members = slotted(distinct.repartition(int(tasks), "rep"))  # what a task sends is held in memory
     large = sizes.where(F.col("n") > BLOCK).select("band", "slot", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))  # n / BLOCK rows a band at most
     own = members.join(F.broadcast(large), ["band", "slot"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     met = own.select("slot", "band", "own", "rep", "sketch", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = met.select("slot", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", (F.col("own") > F.col("other")).alias("second"), "sketch")
-    dealt = cells.repartition(int(tasks), "slot", "band", "i", "j").sortWithinPartitions("slot", "band", "i", "j", "rep")
+    dealt = cells.repartition(int(max(tasks, pairs // PAIRS_A_TASK)), "slot", "band", "i", "j").sortWithinPartitions("slot", "band", "i", "j", "rep")
     return dealt.mapInArrow(functools.partial(_linked, seeds=seeds, n=n, threshold=threshold), f"a {kind}, b {kind}, similarity double")
 
 
 #: Members of a cell whose pairs are made one by one, with those of other cells; entries of a rectangle of comparisons, and links in a batch.
-FEW, RECTANGLE, LINKS = 64, 1 << 17, 1 << 17
+FEW, RECTANGLE, LINKS = 64, 1 << 16, 1 << 16
 
 
 def _linked(batches, seeds: int, n: int, threshold: float):
@@ -137,12 +167,11 @@ def _links_of(batch, seeds: int, n: int, threshold: float):
 
 def _as_links(rep, found: list, seeds: int):
     x, y, same = (np.concatenate(v) for v in zip(*found, strict=True))
-    ends = [rep.take(pa.array(f(x, y))) for f in (np.minimum, np.maximum)]  # rows of a cell are sorted by representative
-    return pa.RecordBatch.from_arrays([*ends, pa.array(same / seeds)], names=["a", "b", "similarity"])
+    return pa.RecordBatch.from_arrays([rep.take(pa.array(x)), rep.take(pa.array(y)), pa.array(same / seeds)], names=["a", "b", "similarity"])
 
 
 def _compared(batch, seeds: int, n: int, threshold: float):
-    """(row, row, equal positions) of the links of whole cells."""
+    """(row, later row, equal positions) of the links of whole cells; the rows of a cell are sorted by representative."""
     values = batch.column("sketch").flatten().to_numpy().reshape(-1, seeds)
     values = values.astype(np.uint32) if values.min() >= 0 and values.max() < 1 << 32 else values
     band, second = batch.column("band").to_numpy(), batch.column("second").to_numpy(zero_copy_only=False)
@@ -150,6 +179,7 @@ def _compared(batch, seeds: int, n: int, threshold: float):
     ends = _cell_ends(batch)
     starts = np.append(0, ends[:-1])
     rows = seeds // n
+    least = next((c for c in range(seeds + 1) if c / seeds >= threshold), seeds + 1)
     few = ends - starts <= FEW
     row = np.concatenate([np.arange(0)] + [np.arange(s, e) for s, e in zip(starts[few], ends[few], strict=True) if e - s > 1])
     last = np.repeat(ends[few], ends[few] - starts[few])[np.repeat(ends[few] - starts[few], ends[few] - starts[few]) > 1]
@@ -163,36 +193,40 @@ def _compared(batch, seeds: int, n: int, threshold: float):
         equal = values[x] == values[y]
         shared = equal[:, : n * rows].reshape(-1, n, rows).all(axis=2)
         same = equal.sum(axis=1)
-        ok = shared[np.arange(len(x)), band[x]] & (shared.argmax(axis=1) == band[x]) & (same / seeds >= threshold)
+        ok = shared[np.arange(len(x)), band[x]] & (shared.argmax(axis=1) == band[x]) & (same >= least)
         yield x[ok], y[ok], same[ok]
     for s, e in zip(starts[~few], ends[~few], strict=True):
-        here = np.arange(s, e)
+        here = np.arange(s, e, dtype=np.int32)
         left, right = (here, here) if within[s] else (here[~second[s:e]], here[second[s:e]])
         across, down = np.ascontiguousarray(values[left].T), np.ascontiguousarray(values[right].T)
         step = max(1, RECTANGLE // max(1, len(right)))
         for at in range(0, len(left), step):
             past = at if within[s] else 0  # below the diagonal all are met already
-            same, first = _rectangle(across[:, at : at + step], down[:, past:], band[s], rows, n)
-            ok = first & (same / seeds >= threshold)
+            same, ok = _rectangle(across[:, at : at + step], down[:, past:], band[s], rows, n)
+            ok &= same >= least
             if within[s]:
                 ok &= np.arange(ok.shape[1]) > np.arange(ok.shape[0])[:, None]
-            x, y = np.nonzero(ok)
-            yield left[at + x], right[past + y], same[x, y]
+            x, y = np.repeat(left[at : at + step], ok.sum(axis=1)), np.broadcast_to(right[past:], ok.shape)[ok]
+            yield (x, y, same[ok]) if within[s] else (np.minimum(x, y), np.maximum(x, y), same[ok])
 
 
 def _rectangle(across: np.ndarray, down: np.ndarray, band: int, rows: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Equal positions of each two sketches, and whether the band is the first that they share."""
     shape = across.shape[1], down.shape[1]
     same, first = np.zeros(shape, np.uint8 if len(across) < 256 else np.int32), np.ones(shape, bool)
-    for k in range(n + 1):  # rows beyond the last band count, too
-        all_equal = np.ones(shape, bool)
-        for at in range(k * rows, (k + 1) * rows if k < n else len(across)):
-            equal = across[at, :, None] == down[at, None, :]
-            same += equal
-            if k <= band:
-                all_equal &= equal
-        if k <= band:
-            first &= all_equal if k == band else ~all_equal
+    equal, shared = np.empty(shape, bool), np.empty(shape, bool)
+    for at in range(len(across)):  # positions beyond the last band count, too
+        k = at // rows
+        np.equal(across[at, :, None], down[at], out=equal)
+        np.add(same, equal.view(np.uint8), out=same)
+        if k > band or k >= n:
+            continue
+        if at % rows:
+            shared &= equal
+        else:
+            shared[:] = equal
+        if at % rows == rows - 1:
+            first &= shared if k == band else ~shared
     return same, first
 
 
